@@ -16,7 +16,7 @@ from .substring import Words, block_of, documents_of, id_bounds, mixed
 #: Leaf hashes that a fingerprint keeps at most: the smallest.
 KEPT = 128
 #: Of the hashes of words, one in so many ends a leaf.
-LEAF_WORDS = 4
+LEAF_WORDS = 2
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ def edits(a: Node, b: Node) -> list[tuple[Node | None, Node | None]]:
 
 def leaf_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (32 bits) of the leaves of all texts, and the text of each. A leaf is a run of words that ends after a word
-    whose own hash says so, or with the text: 4 words on average, the same ones wherever the passage stands."""
+    whose own hash says so, or with the text: 2 words on average, the same ones wherever the passage stands."""
     n = len(words.starts)
     if not n:
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W\d_]+")
 GRADES = 4
+#: Lengths of the beginnings of words that are features.
+STEMS = (5, 7)
 
 
 def features(text: str | None) -> set[str]:
-    """The distinct words of a text, in lower case."""
-    return set(TOKEN.findall((text or "").lower()))
+    """The distinct words of a text, in lower case, and the beginnings of longer ones, so that inflected forms count."""
+    words = set(TOKEN.findall((text or "").lower()))
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
 def sigmoid(x):
@@ -38,7 +41,7 @@ class Ordinal:
         return sigmoid(scores[:, None] - np.array(self.thresholds)[None, :])
 
 
-def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_columns: int, penalty: float = 1.0, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: np.ndarray, columns: np.ndarray, grades: np.ndarray, n_columns: int, penalty: float = 0.2, rounds: int = 400, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of greatest penalised likelihood, by Adam on the full sample. ``rows`` and ``columns``: the
     places of the ones in the matrix of features."""
     n, k = len(grades), GRADES - 1
@@ -72,8 +75,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary:
     """A model of at most ``per_class`` labelled documents of either class, those whose ids hash lowest.
 
     Severity grades come from the labels and the sample: 0 for documents labelled clean; toxic ones get 1, 2 or 3 by how
-    many distinct marker words they hold (up to one, two, more), a marker being a word whose share of toxic documents is
-    at least eight times its share of clean ones. Words are kept as features by chi-square, at most ``vocabulary``. The
+    many distinct markers they hold (up to one, two, more), a marker being a feature whose share of toxic documents is
+    at least eight times its share of clean ones. Features are kept by chi-square, at most ``vocabulary``. The
     sample is chosen by ids alone and its bound is what limits the driver's work; without toxic rows nothing is toxic.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
