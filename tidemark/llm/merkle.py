@@ -80,8 +80,7 @@ def leaf_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     stop[words.at[1:][np.diff(words.at) > 0] - 1] = True
     last = np.flatnonzero(stop)
     first = np.r_[0, last[:-1] + 1]
-    s, e = words.starts[first], words.ends[last]
-    return (mixed((words.sums[e] - words.sums[s]) * words.back[s]) >> np.uint64(32)).astype(np.uint32), words.doc[first]
+    return (mixed(words.between(first, last)) >> np.uint64(32)).astype(np.uint32), words.doc[first]
 
 
 def fingerprints(texts: list[bytes]) -> list[str]:

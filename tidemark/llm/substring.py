@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from .common import shuffle_partitions
 #: An odd multiplier for rolling hashes modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of whole texts that are hashed at a time.
+SEGMENT = 1 << 20
 GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
@@ -33,6 +36,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+@lru_cache(maxsize=1)
+def kept_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (BASE, INVERSE):
+        row = np.full(size, base, np.uint64)
+        row[:1] = 1
+        out.append(np.multiply.accumulate(row))
+    return tuple(out)
+
+
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, ``size`` of each or more."""
+    return kept_powers(max(2 * SEGMENT, size))
+
+
 class Words:
     """The words of several texts: where each begins and ends in the joined bytes, and which text it belongs to."""
 
@@ -52,23 +70,35 @@ class Words:
         #: Words before each text, and in all.
         self.at = before[edges] if len(texts) else np.zeros(1, np.int64)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.at))
-        power = np.full(len(line) + 1, BASE, np.uint64)
-        power[:1] = 1
-        power = np.multiply.accumulate(power)
-        self.sums = np.r_[np.uint64(0), np.cumsum(VALUES[line] * power[:-1], dtype=np.uint64)]
-        back = np.full(len(line) + 1, INVERSE, np.uint64)
-        back[:1] = 1
-        self.back = np.multiply.accumulate(back)
 
     def windows(self, width: int) -> np.ndarray:
         """The first words of all windows of ``width`` words of one text."""
         n = len(self.starts) - width + 1
         return np.flatnonzero(self.doc[:n] == self.doc[width - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
+    def between(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """64-bit hashes of what stands from the word ``first`` to the word ``last`` of one text, joined by single spaces.
+        ``first`` ascends. Works through whole texts of about ``SEGMENT`` bytes at a time, so memory stays bounded."""
+        out, at = np.zeros(len(first), np.uint64), 0
+        if len(first):  # the byte after the last word of each text, or of one before it
+            edges = np.where(self.at[1:] > 0, self.ends[np.maximum(self.at[1:], 1) - 1], 0)
+        while at < len(first):
+            d = int(self.doc[first[at]])
+            begin = int(self.starts[self.at[d]])
+            stop = max(d + 1, int(np.searchsorted(edges, begin + SEGMENT, "right")))
+            end = int(edges[stop - 1])
+            to = int(np.searchsorted(first, self.at[stop], "left"))
+            power, back = powers(end - begin)
+            sums = np.zeros(end - begin + 1, np.uint64)
+            np.cumsum(VALUES[self.line[begin:end]] * power[: end - begin], out=sums[1:])
+            s, e = self.starts[first[at:to]] - begin, self.ends[last[at:to]] - begin
+            out[at:to] = (sums[e] - sums[s]) * back[s]
+            at = to
+        return out
+
     def hashes(self, first: np.ndarray, width: int) -> np.ndarray:
-        """64-bit hashes of the windows that begin at ``first``, joined by single spaces."""
-        s, e = self.starts[first], self.ends[first + width - 1]
-        return mixed((self.sums[e] - self.sums[s]) * self.back[s] + np.uint64(width))
+        """64-bit hashes of the windows of ``width`` words that begin at ``first``."""
+        return mixed(self.between(first, first + width - 1) + np.uint64(width))
 
 
 def levels(start: int, target: int) -> list[int]:
@@ -196,7 +226,7 @@ def repeated_passages(docs: DataFrame, target: int = 13, start: int = 4, number:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     bounds = id_bounds(docs, number or 2 * parts)
-    bits = max(8, math.ceil(math.log2(2 * parts)))
+    bits = max(7, math.ceil(math.log2(parts)) - 1)
     widths = levels(start, target)
     # 2^34 windows in a bucket's keys would make false candidates frequent only beyond 2^(40 - 5) windows a bucket
     key_bytes = [4] * (len(widths) - 1) + [math.ceil((64 - bits) / 8)]
