@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
-from .substring import Words, block_of, documents_of, id_bounds, mixed
+from .substring import Words, block_of, documents_of, id_bounds, mixed, n_blocks
 
 #: Leaf hashes that a fingerprint keeps at most: the smallest.
 KEPT = 128
@@ -122,7 +121,7 @@ def with_next(docs: DataFrame, work, schema: str, number: int | None = None) ->
     block of its range, and the one with a range's largest id to the block above as well, where it is the next of the
     last. So no order of all documents is made anywhere, and a block holds a bounded share of the rows.
     """
-    bounds = id_bounds(docs, number or 2 * shuffle_partitions(docs.sparkSession))
+    bounds = id_bounds(docs, number or n_blocks(docs))
     rows = docs.select(block_of(bounds).cast("int").alias("block"), "doc_id", "text")
     tops = {r["block"]: r["top"] for r in docs.select(block_of(bounds).cast("int").alias("block"), "doc_id").groupBy("block").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops)

@@ -190,6 +190,16 @@ def documents_of(table: pa.Table) -> tuple[np.ndarray, list, list[bytes]]:
     return ranks, ids, texts
 
 
+#: Bytes of text that a block of documents should hold.
+BLOCK_BYTES = 8 << 20
+
+
+def n_blocks(docs: DataFrame) -> int:
+    """Blocks of about ``BLOCK_BYTES``, and no fewer than there are shuffle partitions; reads the texts' lengths."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    return max(shuffle_partitions(docs.sparkSession), math.ceil(size / BLOCK_BYTES))
+
+
 def id_bounds(docs: DataFrame, number: int) -> list[int]:
     """Bounds of about ``number`` ranges of ids with about as many rows each; reads the ids alone."""
     found = docs.select(F.col("doc_id").cast("long").alias("i")).approxQuantile("i", [k / number for k in range(1, number)], 0.2 / number) if number > 1 else []
@@ -224,9 +234,9 @@ def repeated_passages(docs: DataFrame, target: int = 13, start: int = 4, number:
     texts: held singly, in one block. Empty table: empty result. Other columns are not read.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    bounds = id_bounds(docs, number or 2 * parts)
-    bits = max(7, math.ceil(math.log2(parts)) - 1)
+    number = number or n_blocks(docs)
+    bounds = id_bounds(docs, number)
+    bits = max(7, math.ceil(math.log2(number)) - 1)
     widths = levels(start, target)
     # 2^34 windows in a bucket's keys would make false candidates frequent only beyond 2^(40 - 5) windows a bucket
     key_bytes = [4] * (len(widths) - 1) + [math.ceil((64 - bits) / 8)]
