@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose pieces a worker remembers at most, over all variants.
-REMEMBERED = 400_000
+#: Parts of texts whose pieces a worker remembers at most, over all variants.
+REMEMBERED = 1_000_000
+#: Letters that stand together in words of many languages.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 MASK = (1 << 64) - 1
 
 
@@ -32,10 +35,20 @@ class Vocabulary:
                 self.text[i] = bytes([int(p[3:-1], 16)])
             elif kind == 0:
                 self.text[i] = p.replace(SPACE, " ").encode()
-        inner = {c for p in self.ids for c in "\n" if c in p}
+        lines = any("\n" in p for p in self.ids)
         late = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        #: Parts of a text that no piece reaches across: a run of spaces and what follows it, and line ends.
-        self.parts = re.compile(r"(?s).+" if late else r" *[^ ]+| +" if inner else r" *[^ \n]+|\n| +")
+        mixed = re.compile(f"[{LETTERS}][^{LETTERS}]|[^{LETTERS}{SPACE}][{LETTERS}]")
+        #: Parts of a text that no piece reaches across: spaces and what follows them, letters apart from other signs, and
+        #: line ends, as far as the pieces allow.
+        if late:
+            parts = r"(?s).+"
+        elif lines:
+            parts = r" *[^ ]+| +"
+        elif any(map(mixed.search, self.ids)):
+            parts = r" *[^ \n]+|\n| +"
+        else:
+            parts = rf" *[{LETTERS}]+| *[^ \n{LETTERS}]+|\n| +"
+        self.parts = re.compile(parts)
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -56,42 +69,38 @@ def merge(part: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
     """
     symbols: list[str | None] = list(part)
     n = len(symbols)
-    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    ids = v.ids
-    agenda = []
-    for i in range(n - 1):
-        found = ids.get(symbols[i] + symbols[i + 1])
-        if found:
-            agenda.append((-found[1], i, i + 1, symbols[i] + symbols[i + 1]))
-    heapify(agenda)
-    below = int(dropout * (1 << 32))
+    get = v.ids.get
+    agenda = [(-found[1], i, i + 1, pair, found[0]) for i in range(n - 1) if (found := get(pair := symbols[i] + symbols[i + 1]))]
+    if agenda:
+        heapify(agenda)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        below = int(dropout * (1 << 32))
     while agenda:
-        _, i, j, piece = heappop(agenda)
+        _, i, j, piece, number = heappop(agenda)
         left, right = symbols[i], symbols[j]
-        if left is None or right is None or after[i] != j or len(left) + len(right) != len(piece):
+        if left is None or right is None or len(left) + len(right) != len(piece) or after[i] != j:
             continue
         if below:
-            h = (key ^ i * 0x9E3779B97F4A7C15 ^ ids[piece][0] * 0xC2B2AE3D27D4EB4F) & MASK
-            h = ((h ^ h >> 29) * 0xBF58476D1CE4E5B9) & MASK
-            if (h ^ h >> 32) & 0xFFFFFFFF < below:
+            h = (key ^ i * 0x9E3779B97F4A7C15 ^ number * 0xC2B2AE3D27D4EB4F) * 0xBF58476D1CE4E5B9 & MASK
+            if h >> 32 < below:
                 continue
         symbols[i], symbols[j] = piece, None
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            found = ids.get(piece + symbols[k])
+            found = get(pair := piece + symbols[k])
             if found:
-                heappush(agenda, (-found[1], i, k, piece + symbols[k]))
+                heappush(agenda, (-found[1], i, k, pair, found[0]))
         h = before[i]
         if h >= 0:
-            found = ids.get(symbols[h] + piece)
+            found = get(pair := symbols[h] + piece)
             if found:
-                heappush(agenda, (-found[1], h, i, symbols[h] + piece))
+                heappush(agenda, (-found[1], h, i, pair, found[0]))
     out = []
     for s in symbols:
         if s is None:
             continue
-        found = ids.get(s)
+        found = get(s)
         if found:
             out.append(found[0])
         else:
@@ -100,20 +109,30 @@ def merge(part: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
 
 
 class Encoder(dict):
-    """From a part of a text to its ids as bytes, for one vocabulary, dropout and key; remembers what it has made."""
+    """From a part of a text to its ids as bytes, for one vocabulary, dropout and key. Remembers up to ``limit`` parts: the
+    ones that came up since the generation before last."""
 
-    def __init__(self, v: Vocabulary, dropout: float, seed: int, variant: int):
-        self.v, self.dropout, self.key = v, dropout, f"{seed}:{variant}:".encode()
+    def __init__(self, v: Vocabulary, dropout: float, seed: int, variant: int, limit: int = REMEMBERED):
+        self.v, self.dropout, self.key, self.limit, self.before = v, dropout, f"{seed}:{variant}:".encode(), limit // 2, {}
 
     def __missing__(self, part: str) -> bytes:
-        key = int.from_bytes(hashlib.blake2b(self.key + part.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
-        ids: list[int] = []
-        # a mark that is part of the text itself is written as bytes, so that it isn't read as a space
-        for i, piece in enumerate(part.split(SPACE)):
-            if i:
-                ids.extend(self.v.byte[b] for b in SPACE.encode())
-            ids.extend(merge(piece.replace(" ", SPACE), self.v, self.dropout, key + i))
-        found = self[part] = np.array(ids, np.int32).tobytes()
+        if len(self) >= self.limit:
+            self.before = dict(self)
+            self.clear()
+        found = self.before.get(part)
+        if found is None:
+            key = int.from_bytes(hashlib.blake2b(self.key + part.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+            if SPACE in part:
+                # a mark that is part of the text itself is written as bytes, so that it isn't read as a space
+                ids: list[int] = []
+                for i, piece in enumerate(part.split(SPACE)):
+                    if i:
+                        ids.extend(self.v.byte[b] for b in SPACE.encode())
+                    ids.extend(merge(piece.replace(" ", SPACE), self.v, self.dropout, key + i))
+            else:
+                ids = merge(part.replace(" ", SPACE), self.v, self.dropout, key)
+            found = array("i", ids).tobytes()
+        self[part] = found
         return found
 
 
@@ -130,7 +149,7 @@ def decode(ids, v: Vocabulary) -> str:
     return raw[1:].decode("utf-8", "surrogatepass")
 
 
-def tokenized(docs: DataFrame, vocabulary: Vocabulary | None = None, dropout: float = 0.1, seed: int = 11, variants: int = 4) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: Vocabulary | None = None, dropout: float = 0.1, seed: int = 11, variants: int = 2) -> DataFrame:
     """Every whole text as ids, and whether they decode to it again: (``doc_id``, ``n_tokens``, ``ids``, ``lossless``).
 
     A merge is skipped with probability ``dropout``, by a hash of seed, variant, part of the text, place and piece; a
@@ -144,7 +163,7 @@ def tokenized(docs: DataFrame, vocabulary: Vocabulary | None = None, dropout: fl
     v = docs.sparkSession.sparkContext.broadcast(vocabulary or load())
 
     def run(batches):
-        coders = [Encoder(v.value, dropout, seed, k) for k in range(variants)]
+        coders = [Encoder(v.value, dropout, seed, k, REMEMBERED // variants) for k in range(variants)]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -153,9 +172,6 @@ def tokenized(docs: DataFrame, vocabulary: Vocabulary | None = None, dropout: fl
                     ids = encode(text or "", coders[variant])
                     made.append(ids)
                     same.append(decode(ids, v.value) == (text or ""))
-                    if sum(map(len, coders)) > REMEMBERED:
-                        for c in coders:
-                            c.clear()
                 lengths = np.fromiter(map(len, made), np.int32, len(made))
                 flat = np.concatenate(made) if made else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(flat))
