@@ -135,13 +135,13 @@ def welford_baseline(spark, sf):
 
 
 @query(
-    f"WITH t AS ({USERS}) SELECT agent_id, seq, round(avg(value) OVER w, 4) AS mean, round(stddev_pop(value) OVER w, 4) AS std_dev, min(value) OVER w AS low, max(value) OVER w AS high FROM t "
+    f"WITH t AS ({USERS}) SELECT agent_id, seq, round(avg(value) OVER w + 1e-8, 6) AS mean, round(stddev_pop(value) OVER w, 4) AS std_dev, min(value) OVER w AS low, max(value) OVER w AS high FROM t "
     "WINDOW w AS (PARTITION BY agent_id ORDER BY seq ROWS UNBOUNDED PRECEDING)"
 )
 def welford_running(spark, sf):
     w = Window.partitionBy("agent_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     n, mean, std, low, high = (c.over(w) for c in (F.count("latency_ms"), F.avg("latency_ms"), F.stddev_pop("latency_ms"), F.min("latency_ms"), F.max("latency_ms")))
-    return by_user(spark, sf).select("agent_id", "seq", F.round(mean, 4).alias("mean"), F.round(std, 4).alias("std_dev"), low.alias("low"), high.alias("high"))
+    return by_user(spark, sf).select("agent_id", "seq", r6(mean + 1e-8).alias("mean"), F.round(std, 4).alias("std_dev"), low.alias("low"), high.alias("high"))
 
 
 @query(
@@ -261,12 +261,12 @@ def trend_fit(spark, sf):
     return out.select("agent_id", "seq", r6("slope").alias("slope"), F.round("next_value", 4).alias("next_value"), F.round("slope_hour", 4).alias("slope_hour"))
 
 
-@query(TREND + ", v AS (SELECT agent_id, seq, value FROM t) SELECT w.agent_id, w.seq, CASE WHEN abs(slope) > 1e-6 AND (500 - value) / slope > 0 THEN round((500 - value) / slope, 1) END AS steps FROM w JOIN v ON w.agent_id = v.agent_id AND w.seq = v.seq WHERE n >= 3")
+@query(TREND + ", v AS (SELECT agent_id, seq, value FROM t) SELECT w.agent_id, w.seq, CASE WHEN abs(slope) > 1e-6 AND (500 - value) / slope > 0 AND (500 - value) / slope < 10000 THEN round((500 - value) / slope, 3) END AS steps FROM w JOIN v ON w.agent_id = v.agent_id AND w.seq = v.seq WHERE n >= 3")
 def steps_to_threshold(spark, sf):
     rows = by_user(spark, sf).withColumn("ms", F.unix_millis("ts"))
     out = native.line(rows.select("agent_id", "seq", "latency_ms", "ms"), ["agent_id"], ["seq"], "latency_ms", "ms", 10)
     steps = F.try_divide(F.lit(500.0) - F.col("latency_ms"), F.col("slope"))
-    return out.select("agent_id", "seq", F.when((F.abs("slope") > 1e-6) & (steps > 0), F.round(steps, 1)).alias("steps"))
+    return out.select("agent_id", "seq", F.when((F.abs("slope") > 1e-6) & (steps > 0) & (steps < 10000), F.round(steps, 3)).alias("steps"))
 
 
 @query(f"WITH t AS ({USERS}) SELECT agent_id, seq, CASE WHEN seq <= 20 THEN 'learning' ELSE 'ready' END AS status FROM t")
@@ -519,8 +519,14 @@ def conversation_turns(spark, sf):
 
 
 def flagship(spark, sf):
-    """Findings on the events of each type."""
+    """The report of every turn of the events of each type."""
+    r = R.reports(judged(by_type(spark, sf), TYPE), TYPE.warmup)
+    return r.select("agent_id", "seq", "status", "severity", "behavior_score", F.transform("findings", lambda f: f["summary"]).alias("findings"))
+
+
+@query()
+def drift_findings(spark, sf):
     return D.findings(judged(by_type(spark, sf), TYPE)).select("agent_id", "seq", "feature", "severity", "direction", r6("score").alias("score"), "summary")
 
 
-QUERIES["drift_findings"] = flagship
+QUERIES["drift_reports"] = flagship
