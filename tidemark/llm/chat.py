@@ -84,10 +84,14 @@ def paths(nodes: DataFrame) -> DataFrame:
     parents = up.select("tree", F.col("above").alias("node")).distinct()
     path = base.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("steps"))
     length = 1
+    most = base.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     while True:
         up = cut(up)
         if up.isEmpty():
             return path
+        if length > most:  # what still has an ancestor leads into a cycle, and so to no root
+            top = path.join(base.filter("parent is null").select("tree", "node"), ["tree", "node"]).select("tree", "leaf").distinct()
+            return path.join(top, ["tree", "leaf"], "left_semi")
         longer = path.join(up, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("steps") + length).alias("steps"))
         path = cut(path.unionByName(longer))
         further = up.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
@@ -104,7 +108,7 @@ def format_trees(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
     before texts are joined. A path's turns come together in one row, as they do in its string.
 
     Null text and null role: as empty. Null score: counts as 0. A parent that isn't there makes a node a root; nodes in
-    a cycle have no leaf and are no path. Null tree: not formatted. Empty table: empty result. Other columns are not
+    a cycle, and those that lead into one, are on no path. Null tree: not formatted. Empty table: empty result. Other columns are not
     read.
     """
     nodes = cut(nodes.select("tree", "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).filter("tree is not null"))
