@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts of texts whose pieces a worker remembers at most, over all variants.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Letters that stand together in words of many languages.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 MASK = (1 << 64) - 1

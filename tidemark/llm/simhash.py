@@ -61,7 +61,7 @@ def fingerprint_batches(width: int):
                 hashes.append(np.array(h, np.uint64))
                 counts.append(len(h))
                 held += len(h)
-                if held > 100_000:
+                if held > 50_000:
                     prints.append(majority(np.concatenate(hashes), np.array(counts)))
                     hashes, counts, held = [], [], 0
             if counts:
@@ -171,7 +171,7 @@ def linked(cell: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold: in
     run = np.repeat(np.arange(len(first)), last - first)
     own = np.flatnonzero(home)
     size = (last - first)[run[own]]
-    limit = 2_000_000
+    limit = 400_000
     begin = 0
     held = np.cumsum(size)
     while begin < len(own):

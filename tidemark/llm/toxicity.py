@@ -86,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary:
 
     def words(batches):
         for batch in batches:
-            sets = [sorted(features(t)) for t in batch.column(1).to_pylist()]
+            sets = [sorted(features(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -129,7 +129,7 @@ def judge(docs: DataFrame, model: Ordinal, keep_columns: bool = False, cutoff: f
     at = docs.columns.index("text")
 
     def scores(batch):
-        return model.above(np.array([model.score(features(t)) for t in batch.column(at).to_pylist()], float))
+        return model.above(np.array([model.score(features(t.as_py())) for t in batch.column(at)], float))
 
     if keep_columns:
 
