@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.config import AlertPolicy
+from ..plans.config import SEVERITIES, AlertPolicy
 from .keyed import fold_by_key
 from .report import rank
 
@@ -36,28 +36,36 @@ def candidates(reported: DataFrame, policy: AlertPolicy) -> DataFrame:
     return rows.select(ident.alias("alert_id"), "agent_id", "seq", "ts", F.col("a.at").alias("at"), kind.alias("kind"), F.col("a.level").alias("severity"), title.alias("title"), message.alias("message"), "behavior_score", "attributions", top.alias("top_feature"))
 
 
+class Governor:
+    """Decides on the alerts of one agent, kind and top feature, in order."""
+
+    def __init__(self, policy: AlertPolicy):
+        self.policy, self.floor, self.last = policy, SEVERITIES.index(policy.min_severity), None
+
+    def reason(self, kind: str, level: int, now: float) -> str | None:
+        """Why an alert of a severity's rank at ``now`` (ms) doesn't go out, or None."""
+        if self.policy.canary:
+            return "canary"
+        if kind == "drift" and level < self.floor:
+            return "below-min-severity"
+        if self.last and now - self.last[0] < self.policy.cooldown_ms and level <= self.last[1]:
+            return "cooldown"
+        self.last = (now, level)
+        return None
+
+
 def governed(alerts: DataFrame, policy: AlertPolicy) -> DataFrame:
     """Alerts with ``allowed`` and ``reason``. In a canary run none goes out (``canary``); a drift alert below the least
     severity doesn't (``below-min-severity``); nor does one within the cooldown after the last of its agent, kind and
     top feature, unless its severity is higher (``cooldown``). Time is event time. Suppressed alerts don't start a
     cooldown."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alerts.schema)
-    floor = ("none", "info", "warning", "critical").index(policy.min_severity)
 
     def make(agent, kind, feature):
-        last: tuple[float, int] | None = None
+        governor = Governor(policy)
 
         def step(row):
-            nonlocal last
-            level, now = row["level"], row["ts"].timestamp() * 1000
-            if policy.canary:
-                reason = "canary"
-            elif kind == "drift" and level < floor:
-                reason = "below-min-severity"
-            elif last and now - last[0] < policy.cooldown_ms and level <= last[1]:
-                reason = "cooldown"
-            else:
-                reason, last = None, (now, level)
+            reason = governor.reason(kind, row["level"], row["ts"].timestamp() * 1000)
             yield {**row, "allowed": reason is None, "reason": reason}
 
         return step

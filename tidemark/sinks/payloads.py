@@ -47,8 +47,9 @@ def email(sender: str, recipients: list[str], prefix: str = "[drift]") -> Column
     return F.array_join(F.transform(lines, lambda s: F.when(s.startswith("."), F.concat(F.lit("."), s)).otherwise(s)), "\r\n")
 
 
-def payloads(alerts: DataFrame) -> DataFrame:
-    """(``alert_id``, ``channel``, ``payload``): what would be sent, JSON or text. Credentials are the sender's affair."""
+def payloads(alerts: DataFrame, sender: str = "alerts@example.com", recipients: tuple[str, ...] = ("oncall@example.com",)) -> DataFrame:
+    """(``alert_id``, ``channel``, ``payload``): what would be sent, JSON or text. Credentials are the sender's affair.
+    ``sender`` and ``recipients`` are those of e-mail."""
     S = lambda **x: F.struct(*(v.alias(k.rstrip("_")) for k, v in x.items()))
     L, C, J = F.lit, F.col, F.to_json
     score = F.format_string("%d/100", "behavior_score")
@@ -66,7 +67,7 @@ def payloads(alerts: DataFrame) -> DataFrame:
         "x": J(S(text=truncated(compact(), 280))),
         "googlesheets": J(S(values=F.array(F.array(iso(C("ts")), C("agent_id"), C("severity"), C("kind"), C("behavior_score").cast("string"), C("top_feature"), truncated(C("message"), 500))))),
         "googledocs": J(S(requests=F.array(S(insertText=S(text=F.concat(L("\n"), text(), L("\n"))))))),
-        "email": email("alerts@example.com", ["oncall@example.com"]),
+        "email": email(sender, list(recipients)),
     }
     rows = F.array(*(F.struct(L(k).alias("channel"), v.alias("payload")) for k, v in made.items()))
     out = alerts.select("alert_id", F.explode(rows).alias("p")).select("alert_id", "p.*")
@@ -75,10 +76,10 @@ def payloads(alerts: DataFrame) -> DataFrame:
     return out.withColumn("payload", F.when(F.col("channel") == "teams", F.regexp_replace(card, r'\\(["\\])', "$1")).otherwise(F.col("payload")))
 
 
-def publish(alerts: DataFrame, send, channels: list[str] | None = None) -> DataFrame:
-    """Sends each payload with ``send(channel, alert_id, payload)`` from the executors and returns what became of it:
+def publish(alerts: DataFrame, send, channels: list[str] | None = None, **options) -> DataFrame:
+    """Sends each payload with ``send(channel, alert_id, payload)``, such as a ``senders.Sender``, from the executors and returns what became of it:
     (``alert_id``, ``channel``, ``ok``, ``error``). A failure is a row, never an exception; use in ``foreachBatch``."""
-    rows = payloads(alerts)
+    rows = payloads(alerts, **options)
     rows = rows.filter(F.col("channel").isin(channels)) if channels is not None else rows
 
     def run(batches):

@@ -10,12 +10,23 @@ from pyspark.sql import functions as F
 
 from ..functions.tracks import Categorical, Numeric, half_up, track
 from ..operators.features import valid, wide
-from ..plans.config import CATEGORICAL, NUMERIC, SCORE_ALPHA, SEVERITIES, Config
+from ..plans.config import CATEGORICAL, LEAST_DEVIATION, MOST_ATTRIBUTIONS, NUMERIC, SCORE_ALPHA, SEVERITIES, Config
 
 REPORT = "agent_id string, seq long, ts timestamp, status string, severity string, behavior_score int, findings string, forecasts string"
 STATE = "state string"
 
 
+def attributed(seen: list[tuple[str, float, dict | None]]) -> list[dict]:
+    """The shares of features (name, deviation, finding) in a turn's squared deviation, as ``report.attributions`` has them."""
+    top = sorted((s for s in seen if s[1] >= LEAST_DEVIATION or s[2]), key=lambda s: -s[1])[:MOST_ATTRIBUTIONS]
+    total = sum(d * d for _, d, _ in top)
+    out = []
+    for name, d, finding in top if total else ():
+        said = finding or {"direction": "above", "score": d, "observed": None, "expected": None, "summary": f"{name} deviates at {int(half_up(d * 100))}% of its critical threshold"}
+        out.append({"feature": name, "contribution": half_up(d * d / total, 4), **{k: said[k] for k in ("score", "direction", "observed", "expected", "summary")}})
+    return out
+
+
 class Agent:
     """All features of one agent, turn by turn."""
 
@@ -26,7 +37,7 @@ class Agent:
         """``values`` and ``samples`` by feature, those that the turn has."""
         self.seq += 1
         learning = self.seq <= self.cfg.warmup
-        square, n, found = 0.0, 0, []
+        square, n, found, seen = 0.0, 0, [], []
         for name in (*NUMERIC, *CATEGORICAL):
             x = values.get(name) if name in NUMERIC else samples.get(name)
             if x is None or (name in CATEGORICAL and not len(x)):
@@ -34,12 +45,15 @@ class Agent:
             state = self.tracks.setdefault(name, track(name, self.cfg))
             out = state.step(x if name in NUMERIC else list(x), millis, learning)
             square, n = square + out["deviation"] ** 2, n + 1
+            finding = None
             if out.get("finding"):
-                found.append({"feature": name, "severity": out["finding"], "direction": out["direction"], "score": out["score"], "summary": out["summary"]})
+                finding = {"feature": name, "severity": out["finding"], "direction": out["direction"], "score": out["score"], "observed": out.get("observed"), "expected": out.get("expected"), "summary": out["summary"]}
+                found.append(finding)
+            seen.append((name, out["deviation"], finding))
         self.index += SCORE_ALPHA * ((math.sqrt(square / n) if n else 0.0) - self.index)
         ahead = [] if learning else [{"feature": name, **f} for name in NUMERIC if name in self.tracks and (f := self.tracks[name].forecast())]
         top = max((SEVERITIES.index(f["severity"]) for f in found), default=0)
-        return {"seq": self.seq, "status": "learning" if learning else "ready", "severity": SEVERITIES[top], "behavior_score": int(half_up(100 * math.exp(-self.index))), "findings": found, "forecasts": ahead}
+        return {"seq": self.seq, "status": "learning" if learning else "ready", "severity": SEVERITIES[top], "behavior_score": int(half_up(100 * math.exp(-self.index))), "findings": found, "attributions": attributed(seen), "forecasts": ahead}
 
     def absorb(self, feature: str | None = None) -> None:
         for name, state in self.tracks.items():
