@@ -26,6 +26,24 @@ def ewma(values: Column, alpha: float) -> Column:
     return F.aggregate(values, start, step)
 
 
+def ewma_running(rows: DataFrame, keys: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
+    """The average and deviation after every value: (keys, order columns, ``mean``, ``std_dev``), streamed in order."""
+    from ..operators.keyed import fold_by_key
+    from .tracks import Ewma
+
+    def make(*_):
+        e = Ewma(alpha)
+
+        def step(row):
+            e.push(row[value])
+            yield {**row, "mean": e.mean, "std_dev": e.std}
+
+        return step
+
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (*keys, *order))
+    return fold_by_key(rows.filter(F.col(value).isNotNull()).select(*keys, *order, value), keys, order, make, f"{types}, mean double, std_dev double")
+
+
 def divergence(p: str = "p", q: str = "q") -> Column:
     """Jensen-Shannon divergence in bits, as a sum over the rows of a full join of two distributions."""
     a, b = F.coalesce(F.col(p), F.lit(0.0)), F.coalesce(F.col(q), F.lit(0.0))

@@ -156,6 +156,17 @@ def ewma_final(spark, sf):
     return rows.select("agent_id", F.col("e.n").alias("n"), r6("e.mean").alias("mean"), r6(F.sqrt("e.variance")).alias("std_dev"))
 
 
+@query(
+    f"WITH RECURSIVE t AS ({USERS}), r AS (SELECT agent_id, seq, value AS mean, 0.0::DOUBLE AS variance FROM t WHERE seq = 1 UNION ALL "
+    "SELECT t.agent_id, t.seq, r.mean + (t.value - r.mean) * 0.05::DOUBLE, (r.variance + (t.value - r.mean) * ((t.value - r.mean) * 0.05::DOUBLE)) * 0.95::DOUBLE "
+    "FROM r JOIN t ON t.agent_id = r.agent_id AND t.seq = r.seq + 1) SELECT agent_id, seq, round(mean + 1e-8, 6) AS mean, round(sqrt(variance) + 1e-8, 6) AS std_dev FROM r"
+)
+def ewma_running(spark, sf):
+    out = native.ewma_running(by_user(spark, sf), ["agent_id"], ["seq"], "latency_ms", 0.05)
+    # ties at the last digit that is kept would fall either way
+    return out.select("agent_id", "seq", r6(F.col("mean") + 1e-8).alias("mean"), r6(F.col("std_dev") + 1e-8).alias("std_dev"))
+
+
 @query("SELECT event_type AS agent_id, count(*) AS n, quantile_cont(value, 0.5) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def exact_quantiles(spark, sf):
     rows = S.table(spark, sf, "events").groupBy(F.col("event_type").alias("agent_id"))
@@ -174,9 +185,17 @@ def ring_window(spark, sf):
     return rows.select("agent_id", "seq", F.size("xs").cast("long").alias("n"), F.element_at("xs", 1).alias("oldest"), F.element_at("xs", -1).alias("newest"), r6(F.aggregate("xs", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE v AS ({TYPED}), t AS (SELECT agent_id, seq, event_id AS tie, (value - avg(value) OVER p) / greatest(stddev_pop(value) OVER p, 1e-9) AS z FROM v WINDOW p AS (PARTITION BY agent_id)), "
+    "r AS (SELECT DISTINCT agent_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS tie, 0.0::DOUBLE AS mean, 0.0::DOUBLE AS up, 0.0::DOUBLE AS lo, 0.0::DOUBLE AS dn, 0.0::DOUBLE AS hi, NULL::VARCHAR AS shift FROM t UNION ALL "
+    "SELECT agent_id, seq, tie, mean, CASE WHEN fired IS NULL THEN up ELSE 0 END, CASE WHEN fired IS NULL THEN lo ELSE 0 END, CASE WHEN fired IS NULL THEN dn ELSE 0 END, CASE WHEN fired IS NULL THEN hi ELSE 0 END, fired FROM ("
+    "SELECT agent_id, seq, tie, mean, up, least(lo, up) AS lo, dn, greatest(hi, dn) AS hi, CASE WHEN up - least(lo, up) > 10 THEN 'up' WHEN greatest(hi, dn) - dn > 10 THEN 'down' END AS fired FROM ("
+    "SELECT agent_id, seq, tie, mean, lo, hi, 0.999::DOUBLE * up + (z - mean - 0.02::DOUBLE) AS up, 0.999::DOUBLE * dn + (z - mean + 0.02::DOUBLE) AS dn FROM ("
+    "SELECT t.agent_id, t.seq, t.tie, t.z, r.up, r.lo, r.dn, r.hi, r.mean + (t.z - r.mean) / t.seq AS mean FROM r JOIN t ON t.agent_id = r.agent_id AND t.seq = r.seq + 1) a) b) c) "
+    "SELECT agent_id, tie, shift FROM r WHERE shift IS NOT NULL"
+)
 def page_hinkley_fires(spark, sf):
-    return native.shift_fires(S.events_by_type(S.table(spark, sf, "events")), "agent_id", ["ts", "tie"], "latency_ms", 0.02, 10.0)
+    return native.shift_fires(S.events_by_type(S.table(spark, sf, "events")), "agent_id", ["ts", "tie"], "latency_ms", 0.02, 10.0).drop("ts")
 
 
 @query(f"WITH t AS ({USERS}) SELECT agent_id, event_type AS category, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY agent_id), 6) AS share FROM t WHERE seq <= 20 GROUP BY 1, 2")
@@ -261,12 +280,12 @@ def trend_fit(spark, sf):
     return out.select("agent_id", "seq", r6("slope").alias("slope"), F.round("next_value", 4).alias("next_value"), F.round("slope_hour", 4).alias("slope_hour"))
 
 
-@query(TREND + ", v AS (SELECT agent_id, seq, value FROM t) SELECT w.agent_id, w.seq, CASE WHEN abs(slope) > 1e-6 AND (500 - value) / slope > 0 AND (500 - value) / slope < 10000 THEN round((500 - value) / slope, 3) END AS steps FROM w JOIN v ON w.agent_id = v.agent_id AND w.seq = v.seq WHERE n >= 3")
+@query(TREND + ", v AS (SELECT agent_id, seq, value FROM t) SELECT w.agent_id, w.seq, CASE WHEN abs(slope) > 1e-6 AND (500 - value) / slope > 0 AND (500 - value) / slope < 10000 THEN round((500 - value) / slope + 1e-7, 3) END AS steps FROM w JOIN v ON w.agent_id = v.agent_id AND w.seq = v.seq WHERE n >= 3")
 def steps_to_threshold(spark, sf):
     rows = by_user(spark, sf).withColumn("ms", F.unix_millis("ts"))
     out = native.line(rows.select("agent_id", "seq", "latency_ms", "ms"), ["agent_id"], ["seq"], "latency_ms", "ms", 10)
     steps = F.try_divide(F.lit(500.0) - F.col("latency_ms"), F.col("slope"))
-    return out.select("agent_id", "seq", F.when((F.abs("slope") > 1e-6) & (steps > 0) & (steps < 10000), F.round(steps, 3)).alias("steps"))
+    return out.select("agent_id", "seq", F.when((F.abs("slope") > 1e-6) & (steps > 0) & (steps < 10000), F.round(steps + 1e-7, 3)).alias("steps"))
 
 
 @query(f"WITH t AS ({USERS}) SELECT agent_id, seq, CASE WHEN seq <= 20 THEN 'learning' ELSE 'ready' END AS status FROM t")
@@ -513,7 +532,11 @@ def supplier_drift(spark, sf):
     return R.scores(judged(by_supplier(spark, sf), TYPE)).groupBy("agent_id").agg(F.count("*").alias("turns"), F.min("behavior_score").alias("worst"), F.max_by("behavior_score", "seq").alias("last"))
 
 
-@query()
+@query(
+    "WITH t AS (SELECT role AS agent_id, row_number() OVER (PARTITION BY role ORDER BY conv_id * 100000 + turn) AS seq, length(text)::DOUBLE AS n, turn::DOUBLE AS turn FROM conversations WHERE role <> '') "
+    "SELECT agent_id, seq, 'outputTokens' AS feature, n AS value FROM t WHERE n IS NOT NULL UNION ALL SELECT agent_id, seq, 'totalTokens', n FROM t WHERE n IS NOT NULL "
+    "UNION ALL SELECT agent_id, seq, 'turnIndex', turn FROM t WHERE turn IS NOT NULL UNION ALL SELECT agent_id, seq, 'errorRate', 0.0::DOUBLE FROM t"
+)
 def conversation_turns(spark, sf):
     return X.long(X.wide(X.sequenced(S.conversations_as_turns(S.table(spark, sf, "conversations"))))).select("agent_id", "seq", "feature", "value")
 
