@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from array import array
 from heapq import heapify, heappop, heappush
@@ -11,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -19,6 +19,8 @@ REMEMBERED = 500_000
 #: Letters that stand together in words of many languages.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 MASK = (1 << 64) - 1
+#: Odd factors that spread a key, a place and a piece over 64 bits.
+SPREAD, PLACE, PIECE = 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
 class Vocabulary:
@@ -27,6 +29,8 @@ class Vocabulary:
     def __init__(self, pieces: list[tuple[str, float, int]]):
         """``pieces``: (piece, score, kind) by id; kind 0: of characters, 1: a byte, 2: of neither."""
         self.ids = {p: (i, s) for i, (p, s, kind) in enumerate(pieces) if kind == 0}
+        #: What a merge into a piece needs: its rank (best first), its id, and the id spread over 64 bits.
+        self.merges = {p: (-s, i, i * PIECE & MASK) for p, (i, s) in self.ids.items()}
         self.byte = [0] * 256
         self.text = [b""] * len(pieces)
         for i, (p, _, kind) in enumerate(pieces):
@@ -67,44 +71,40 @@ def merge(part: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
     skipped if a hash of the key, its place and its piece falls below the dropout; else its two symbols become one, and
     the merges with its new neighbours are candidates. Skipped ones don't come back, but a merge that grows around may.
     """
+    n = len(part)
+    get = v.merges.get
+    agenda = [(found[0], i, i + 1, pair, found[1], found[2]) for i in range(n - 1) if (found := get(pair := part[i : i + 2]))]
     symbols: list[str | None] = list(part)
-    n = len(symbols)
-    get = v.ids.get
-    agenda = [(-found[1], i, i + 1, pair, found[0]) for i in range(n - 1) if (found := get(pair := symbols[i] + symbols[i + 1]))]
+    numbers = [-1] * n
     if agenda:
         heapify(agenda)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        below = int(dropout * (1 << 32))
+        below = int(dropout * (1 << 32)) << 32
     while agenda:
-        _, i, j, piece, number = heappop(agenda)
+        _, i, j, piece, number, spread = heappop(agenda)
         left, right = symbols[i], symbols[j]
-        if left is None or right is None or len(left) + len(right) != len(piece) or after[i] != j:
+        if left is None or right is None or after[i] != j or len(left) + len(right) != len(piece):
             continue
-        if below:
-            h = (key ^ i * 0x9E3779B97F4A7C15 ^ number * 0xC2B2AE3D27D4EB4F) * 0xBF58476D1CE4E5B9 & MASK
-            if h >> 32 < below:
-                continue
-        symbols[i], symbols[j] = piece, None
+        if below and ((key ^ i * PLACE ^ spread) * SPREAD & MASK) < below:
+            continue
+        symbols[i], symbols[j], numbers[i] = piece, None, number
         k = after[i] = after[j]
         if k < n:
             before[k] = i
-            found = get(pair := piece + symbols[k])
-            if found:
-                heappush(agenda, (-found[1], i, k, pair, found[0]))
+            if found := get(pair := piece + symbols[k]):
+                heappush(agenda, (found[0], i, k, pair, found[1], found[2]))
         h = before[i]
-        if h >= 0:
-            found = get(pair := symbols[h] + piece)
-            if found:
-                heappush(agenda, (-found[1], h, i, pair, found[0]))
+        if h >= 0 and (found := get(pair := symbols[h] + piece)):
+            heappush(agenda, (found[0], h, i, pair, found[1], found[2]))
     out = []
-    for s in symbols:
-        if s is None:
-            continue
-        found = get(s)
-        if found:
-            out.append(found[0])
-        else:
-            out.extend(v.byte[b] for b in s.encode("utf-8", "surrogatepass"))
+    for s, number in zip(symbols, numbers, strict=True):
+        if number >= 0 and s is not None:
+            out.append(number)
+        elif s is not None:
+            if found := get(s):
+                out.append(found[1])
+            else:
+                out.extend(v.byte[b] for b in s.encode("utf-8", "surrogatepass"))
     return out
 
 
@@ -113,7 +113,8 @@ class Encoder(dict):
     ones that came up since the generation before last."""
 
     def __init__(self, v: Vocabulary, dropout: float, seed: int, variant: int, limit: int = REMEMBERED):
-        self.v, self.dropout, self.key, self.limit, self.before = v, dropout, f"{seed}:{variant}:".encode(), limit // 2, {}
+        self.v, self.dropout, self.limit, self.before = v, dropout, limit // 2, {}
+        self.key = xxh64_intdigest(f"{seed}:{variant}")
 
     def __missing__(self, part: str) -> bytes:
         if len(self) >= self.limit:
@@ -121,7 +122,7 @@ class Encoder(dict):
             self.clear()
         found = self.before.get(part)
         if found is None:
-            key = int.from_bytes(hashlib.blake2b(self.key + part.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big")
+            key = xxh64_intdigest(part.encode("utf-8", "surrogatepass"), self.key)
             if SPACE in part:
                 # a mark that is part of the text itself is written as bytes, so that it isn't read as a space
                 ids: list[int] = []
