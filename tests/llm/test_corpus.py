@@ -1,6 +1,8 @@
 """Each operator against brute force on the small table, and on odd rows."""
 
 import hashlib
+import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -141,6 +143,32 @@ def test_dropout_is_lossless_and_repeats(spark, odd, docs):
     assert all((merge_dropout.encode(t or "", tiny) == merge_dropout.encode(t or "", large)).all() for _, t in docs[:50])
 
 
+def test_dropout_draws_for_each_occurrence(spark):
+    v = merge_dropout.load()
+    rows = [(i, "international " * 200, 0) for i in range(20)] + [(0, "international " * 200, 1)]
+    made = merge_dropout.tokenized(spark.createDataFrame(rows, "doc_id long, text string, copy int"), copy="copy").collect()
+    assert all(r.lossless for r in made) and len({tuple(r.ids) for r in made}) == len(rows)
+    cuts, part = Counter(), " international"
+    coder = merge_dropout.Encoder(v, 0.1, 11)
+    for document in range(20):
+        cuts.update(coder.all_of([part] * 1000, document))
+    assert len(cuts) > 10
+    # each cut as often as if every candidate were drawn by itself
+    drawn, dice = Counter(), random.Random(5)
+    for _ in range(20_000):
+        drawn[coder.cut(part, (i for i in itertools.count() if dice.random() < 0.1))[1]] += 1
+    assert all(cuts[c] / 20_000 == pytest.approx(drawn[c] / 20_000, abs=0.02) for c in {*cuts, *drawn})
+    few = merge_dropout.Encoder(v, 0.1, 11, limit=4)
+    assert coder.all_of([part, " a", part] * 50, 7) == few.all_of([part, " a", part] * 50, 7)
+
+
+def test_copies_of_the_mix_are_numbered(spark):
+    frame = spark.createDataFrame([(i, "w " * (50 if i else 400), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    numbered = Counter((r.doc_id, r.n) for r in mixing.mixed(frame, copy="n").collect())
+    want = {r.doc_id: r.copies for r in mixing.mix(frame).collect()}
+    assert numbered == Counter((i, k) for i, n in want.items() for k in range(n)) and max(want.values()) > 1
+
+
 PRIVATE = "Mail Jo.Doe@Mail.example.com or jo.doe@mail.example.com, call +1 (499) 555-6503 or +1 499-555-6503; from 8.196.197.208, card 4539 1488 0343 6467, not 4539148803436468. Mrs. Mary Smith met Mary Smith and Mr. Иван Петров."
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -14,13 +17,15 @@ from xxhash import xxh64_intdigest
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Parts of texts whose pieces a worker remembers at most, over all variants.
+#: Parts of texts whose pieces a worker remembers at most, over all places skipped.
 REMEMBERED = 500_000
 #: Letters that stand together in words of many languages.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 MASK = (1 << 64) - 1
-#: Odd factors that spread a key, a place and a piece over 64 bits.
-SPREAD, PLACE, PIECE = 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Odd factors that spread a number and a place over 64 bits.
+SPREAD, MIX, PLACE = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
+#: More candidates than any part has.
+NEVER = 1 << 62
 
 
 class Vocabulary:
@@ -29,8 +34,8 @@ class Vocabulary:
     def __init__(self, pieces: list[tuple[str, float, int]]):
         """``pieces``: (piece, score, kind) by id; kind 0: of characters, 1: a byte, 2: of neither."""
         self.ids = {p: (i, s) for i, (p, s, kind) in enumerate(pieces) if kind == 0}
-        #: What a merge into a piece needs: its rank (best first), its id, and the id spread over 64 bits.
-        self.merges = {p: (-s, i, i * PIECE & MASK) for p, (i, s) in self.ids.items()}
+        #: What a merge into a piece needs: its rank (best first) and its id.
+        self.merges = {p: (-s, i) for p, (i, s) in self.ids.items()}
         self.byte = [0] * 256
         self.text = [b""] * len(pieces)
         for i, (p, _, kind) in enumerate(pieces):
@@ -64,38 +69,39 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary([(model.id_to_piece(i), model.get_score(i), kind(i)) for i in range(model.vocab_size())])
 
 
-def merge(part: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
-    """The ids of a part of a text, its spaces marked.
+def merge(part: str, v: Vocabulary, skips: Iterator[int], skip: int, taken: int = 0) -> tuple[list[int], int, int]:
+    """The ids of a part of a text, its spaces marked; how many candidates were taken so far; and the next to skip.
 
     The agenda holds candidate merges of neighbours, best score first, then leftmost. Each candidate taken from it is
-    skipped if a hash of the key, its place and its piece falls below the dropout; else its two symbols become one, and
-    the merges with its new neighbours are candidates. Skipped ones don't come back, but a merge that grows around may.
+    skipped if its number is the next of ``skips``; else its two symbols become one, and the merges with its new
+    neighbours are candidates. Skipped ones don't come back, but a merge that grows around may.
     """
     n = len(part)
     get = v.merges.get
-    agenda = [(found[0], i, i + 1, pair, found[1], found[2]) for i in range(n - 1) if (found := get(pair := part[i : i + 2]))]
+    agenda = [(found[0], i, i + 1, pair, found[1]) for i in range(n - 1) if (found := get(pair := part[i : i + 2]))]
     symbols: list[str | None] = list(part)
     numbers = [-1] * n
     if agenda:
         heapify(agenda)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        below = int(dropout * (1 << 32)) << 32
     while agenda:
-        _, i, j, piece, number, spread = heappop(agenda)
+        _, i, j, piece, number = heappop(agenda)
         left, right = symbols[i], symbols[j]
         if left is None or right is None or after[i] != j or len(left) + len(right) != len(piece):
             continue
-        if below and ((key ^ i * PLACE ^ spread) * SPREAD & MASK) < below:
+        taken += 1
+        if taken > skip:
+            skip = next(skips)
             continue
         symbols[i], symbols[j], numbers[i] = piece, None, number
         k = after[i] = after[j]
         if k < n:
             before[k] = i
             if found := get(pair := piece + symbols[k]):
-                heappush(agenda, (found[0], i, k, pair, found[1], found[2]))
+                heappush(agenda, (found[0], i, k, pair, found[1]))
         h = before[i]
         if h >= 0 and (found := get(pair := symbols[h] + piece)):
-            heappush(agenda, (found[0], h, i, pair, found[1], found[2]))
+            heappush(agenda, (found[0], h, i, pair, found[1]))
     out = []
     for s, number in zip(symbols, numbers, strict=True):
         if number >= 0 and s is not None:
@@ -105,43 +111,99 @@ def merge(part: str, v: Vocabulary, dropout: float, key: int) -> list[int]:
                 out.append(found[1])
             else:
                 out.extend(v.byte[b] for b in s.encode("utf-8", "surrogatepass"))
-    return out
+    return out, taken, skip
+
+
+def spread(x):
+    """64 bits that depend on all of ``x``: an array of 64-bit numbers, or a number."""
+    if not isinstance(x, np.ndarray):
+        x &= MASK
+        x = (x ^ x >> 30) * SPREAD & MASK
+        x = (x ^ x >> 27) * MIX & MASK
+        return x ^ x >> 31
+    x = (x ^ x >> np.uint64(30)) * np.uint64(SPREAD)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(MIX)
+    return x ^ x >> np.uint64(31)
 
 
 class Encoder(dict):
-    """From a part of a text to its ids as bytes, for one vocabulary, dropout and key. Remembers up to ``limit`` parts: the
-    ones that came up since the generation before last."""
+    """From a part of a text, and the candidates skipped in it, to how many candidates are taken and the ids as bytes. The
+    keys are a part, (part, skipped) or (part, skipped, skipped): what is remembered is what the part and the skipped
+    places settle, never which ones are skipped. Up to ``limit`` are: the ones that came up since the generation before
+    last."""
 
-    def __init__(self, v: Vocabulary, dropout: float, seed: int, variant: int, limit: int = REMEMBERED):
+    def __init__(self, v: Vocabulary, dropout: float, seed: int, document: int = 0, limit: int = REMEMBERED):
         self.v, self.dropout, self.limit, self.before = v, dropout, limit // 2, {}
-        self.key = xxh64_intdigest(f"{seed}:{variant}")
+        self.seed, self.document = xxh64_intdigest(f"{seed}"), document
+        #: A gap between skipped candidates is the logarithm of a uniform number times this, rounded down.
+        self.scale = 1 / log1p(-dropout) if 0 < dropout < 1 else -0.0
 
-    def __missing__(self, part: str) -> bytes:
+    def __missing__(self, asked: str | tuple) -> tuple[int, bytes]:
         if len(self) >= self.limit:
             self.before = dict(self)
             self.clear()
-        found = self.before.get(part)
+        found = self.before.get(asked)
         if found is None:
-            key = xxh64_intdigest(part.encode("utf-8", "surrogatepass"), self.key)
-            if SPACE in part:
-                # a mark that is part of the text itself is written as bytes, so that it isn't read as a space
-                ids: list[int] = []
-                for i, piece in enumerate(part.split(SPACE)):
-                    if i:
-                        ids.extend(self.v.byte[b] for b in SPACE.encode())
-                    ids.extend(merge(piece.replace(" ", SPACE), self.v, self.dropout, key + i))
-            else:
-                ids = merge(part.replace(" ", SPACE), self.v, self.dropout, key)
-            found = array("i", ids).tobytes()
-        self[part] = found
+            part, *skips = (asked,) if isinstance(asked, str) else asked
+            found = self.cut(part, chain(skips, repeat(NEVER)))
+        self[asked] = found
         return found
 
-
-def encode(text: str, encoder: Encoder) -> np.ndarray:
-    """The ids of a text; one space is put before it, as the model does. An empty text has none."""
+    def cut(self, part: str, skips: Iterator[int]) -> tuple[int, bytes]:
+        skip = next(skips)
+        if SPACE not in part:
+            ids, taken, _ = merge(part.replace(" ", SPACE), self.v, skips, skip)
+            return taken, array("i", ids).tobytes()
+        # a mark that is part of the text itself is written as bytes, so that it isn't read as a space
+        ids, taken = [], 0
+        for i, piece in enumerate(part.split(SPACE)):
+            if i:
+                ids.extend(self.v.byte[b] for b in SPACE.encode())
+            more, taken, skip = merge(piece.replace(" ", SPACE), self.v, skips, skip, taken)
+            ids.extend(more)
+        return taken, array("i", ids).tobytes()
+
+    def gap(self, state: int) -> int:
+        return int(log(((state >> 11) + 0.5) * 2.0**-53) * self.scale)
+
+    def later(self, state: int, skip: int) -> Iterator[int]:
+        """The skipped candidates after ``skip``, which ``state`` led to."""
+        while True:
+            state = spread(state + PLACE)
+            skip += 1 + self.gap(state)
+            yield skip
+
+    def all_of(self, parts: list[str], document: int) -> list[bytes]:
+        """The ids of each part of a document. Each occurrence has draws of its own, from a hash of seed, document and place:
+        the gaps between the candidates that are skipped, which is as if each candidate were drawn by itself."""
+        if not 0 < self.dropout:
+            return [self[part][1] for part in parts]
+        key = spread(self.seed ^ spread(document))
+        first = spread(np.arange(1, len(parts) + 1, dtype=np.uint64) * np.uint64(PLACE) + np.uint64(key))
+        gaps = np.log(((first >> np.uint64(11)) + 0.5) * 2.0**-53) * self.scale
+        out = []
+        for part, a, state in zip(parts, gaps.astype(np.int64).tolist(), first.tolist(), strict=True):
+            taken, ids = self[part]
+            if a < taken:
+                taken, ids = self[part, a]
+                state = spread(state + PLACE)
+                b = a + 1 + self.gap(state)
+                if b < taken:
+                    taken, ids = self[part, a, b]
+                    more = self.later(state, b)
+                    if (c := next(more)) < taken:
+                        taken, ids = self.cut(part, chain((a, b, c), more))
+            out.append(ids)
+        return out
+
+
+def encode(text: str, encoder: Encoder, document: int | None = None) -> np.ndarray:
+    """The ids of a text; one space is put before it, as the model does. An empty text has none. ``document``: what tells
+    its draws from those of other texts, else that of the encoder."""
     if not text:
         return np.zeros(0, np.int32)
-    return np.frombuffer(b"".join(map(encoder.__getitem__, encoder.v.parts.findall(" " + text))), np.int32)
+    parts = encoder.v.parts.findall(" " + text)
+    return np.frombuffer(b"".join(encoder.all_of(parts, encoder.document if document is None else document)), np.int32)
 
 
 def decode(ids, v: Vocabulary) -> str:
@@ -150,27 +212,28 @@ def decode(ids, v: Vocabulary) -> str:
     return raw[1:].decode("utf-8", "surrogatepass")
 
 
-def tokenized(docs: DataFrame, vocabulary: Vocabulary | None = None, dropout: float = 0.1, seed: int = 11, variants: int = 2) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: Vocabulary | None = None, dropout: float = 0.1, seed: int = 11, copy: str | None = None) -> DataFrame:
     """Every whole text as ids, and whether they decode to it again: (``doc_id``, ``n_tokens``, ``ids``, ``lossless``).
 
-    A merge is skipped with probability ``dropout``, by a hash of seed, variant, part of the text, place and piece; a
-    document's variant is a hash of its id. So reruns agree, words differ in segmentation from each other, and documents
-    of different variants differ in that of the same word. With dropout 0 the ids are those of the plain encoder.
+    Each candidate merge is skipped with probability ``dropout``, by draws that depend on seed, document, copy and the
+    place of the word's occurrence. So reruns agree, and each occurrence of a word, in a document or in copies of it, is
+    cut by itself. ``copy`` names the column that tells rows of one id apart; without it they get the same ids. With
+    dropout 0 the ids are those of the plain encoder.
 
     Documents are encoded where they are, no shuffle; a worker remembers up to ``REMEMBERED`` parts. Null text: as empty,
-    no ids. Null id: variant 0. Repeated rows: one result each. Very long texts: whole. Empty table: empty result. Other
-    columns are not read.
+    no ids. Null id: told apart by text. Repeated rows: one result each. Very long texts: whole. Empty table: empty
+    result. Other columns are not read.
     """
     v = docs.sparkSession.sparkContext.broadcast(vocabulary or load())
 
     def run(batches):
-        coders = [Encoder(v.value, dropout, seed, k, REMEMBERED // variants) for k in range(variants)]
+        coder = Encoder(v.value, dropout, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 made, same = [], []
-                for text, variant in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    ids = encode(text or "", coders[variant])
+                for text, key in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    ids = encode(text or "", coder, key)
                     made.append(ids)
                     same.append(decode(ids, v.value) == (text or ""))
                 lengths = np.fromiter(map(len, made), np.int32, len(made))
@@ -179,8 +242,8 @@ def tokenized(docs: DataFrame, vocabulary: Vocabulary | None = None, dropout: fl
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths.astype(np.int64)), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "lossless"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    variant = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(variants)), F.lit(0)).cast("int")
-    return docs.select("doc_id", "text", F.when(F.col("doc_id").isNull(), 0).otherwise(variant).alias("variant")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
+    key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")), F.col(copy) if copy else F.lit(0))
+    return docs.select("doc_id", "text", key.alias("key")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
 
 
 def detokenized(rows: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:

@@ -87,8 +87,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17) -> DataFrame:
-    """The rows of ``docs``, each as often as ``mix`` takes it, with the same columns.
+def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, copy: str | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it, with the same columns, and with the number of the copy,
+    from 0, as ``copy`` if a name is given.
 
     The rate of its source and the draw of its id decide each row where it is; texts move only if there are more than
     ``FEW`` sources.
@@ -97,7 +98,8 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     goal = targets(totals, weights, share, cap).select(F.col("source").alias("__source"), F.col("source_size").alias("__size"), F.col("target").alias("__target"))
     both = with_goal(docs, docs["source"], goal, "__source")
     copies = n_copies(F.col("__size"), F.col("__target"), seed)
-    return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*(docs[c] for c in docs.columns))
+    numbers = F.filter(F.sequence(F.lit(0), copies.cast("int")), lambda i: i < copies)
+    return both.withColumn("__copy", F.explode(numbers)).select(*(docs[c] for c in docs.columns), *([F.col("__copy").alias(copy)] if copy else []))
 
 
 def op7_mix_sources(spark, sf_dir):
