@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, merge_dropout, merkle, mixing, pii, queries, secret_scan, simhash, substring, toxicity
+from tidemark.llm import chat, exact_dedup, merge_dropout, merkle, mixing, near_dedup, pii, queries, secret_scan, simhash, substring, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -94,6 +94,27 @@ def test_simhash_on_odd_rows(spark, odd):
     assert simhash.simhash_components(odd.limit(0)).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark, odd):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = frame.collect()
+    sets = [frozenset(simhash.shingle_hashes((r.text or "").encode(), 5)) for r in rows]
+    low, pairs = {r.doc_id: r.doc_id for r in rows}, []
+    for (a, x), (b, y) in itertools.combinations(zip((r.doc_id for r in rows), sets, strict=True), 2):
+        if x == y or min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
+            pairs.append((a, b))
+    for _ in pairs:
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    assert len(pairs) > 10
+    assert {r.doc_id: r.component_id for r in near_dedup.near_components(frame).collect()} == low
+    import corpus_pipeline
+
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()) == sorted(set(low.values()))
+    got = near_dedup.near_components(odd).collect()
+    assert len(got) == len(ODD) and {r.doc_id: r.component_id for r in got}[6] == 4 and near_dedup.one_of_each(odd).columns == odd.columns
+    assert near_dedup.near_components(odd.limit(0)).count() == 0
+
+
 def brute_passages(rows, width=13):
     first, words = {}, []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
