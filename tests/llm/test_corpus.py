@@ -224,6 +224,20 @@ def test_surrogates_stay_distinct_and_collisions_are_drawn_again(spark):
     assert more[7] != clash and len(set(more.values())) == len(ips) + 1 and more[8] == made[8]
 
 
+def test_surrogates_of_phones_have_one_number_in_all_formats(spark):
+    forms = ["+1 499-555-6503", "+14995556503", "+1 (499) 555-6503", "+1.499.555.6503"]
+    rows = spark.createDataFrame([*enumerate(forms), (9, "499-555-6503")], "doc_id long, text string")
+    made = {r.doc_id: r.text for r in pii.replace_private(rows).collect()}
+    digits = {re.sub(r"\D", "", made[i]) for i in range(4)}
+    assert len(digits) == 1 and "14995556503" not in digits
+    assert [re.sub("[0-9]", "0", made[i]) for i in range(4)] == [re.sub("[0-9]", "0", f) for f in forms]
+    # a real number that equals an emitted one has it drawn again
+    clash = made[0]
+    more = {r.doc_id: r.text for r in pii.replace_private(spark.createDataFrame([(0, forms[0]), (1, forms[1]), (2, clash)], "doc_id long, text string")).collect()}
+    bare = {i: re.sub(r"\D", "", t) for i, t in more.items()}
+    assert bare[0] == bare[1] and re.sub(r"\D", "", clash) not in bare.values() and len(set(bare.values())) == 2
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 
 

@@ -40,6 +40,9 @@ NUMBERS = (
 NAMES = rf"(?:(?:{'|'.join(TITLES)})\.? {NAME}(?: {NAME})?|(?:{'|'.join(n for x in GIVEN.values() for n in x)}) {NAME})(?![\p{{L}}\p{{N}}])"
 #: A mention begins where no letter or digit stands before; what it begins with decides which patterns are tried.
 ANY = rf"(?<![\p{{L}}\p{{N}}])(?:(?=[\p{{L}}\p{{N}}._%+-]++@){EMAIL}|(?=[0-9+(])(?:{'|'.join(NUMBERS)})|(?=\p{{Lu}}){NAMES})"
+#: Marks that may stand between the digits of a phone number, and a country code as the numbering plan has them.
+MARKS = r"[ .()-]*"
+COUNTRY = rf"\+(?:[17]|2{MARKS}[07]|3{MARKS}[0-469]|4{MARKS}[013-9]|5{MARKS}[1-8]|6{MARKS}[0-6]|8{MARKS}[1246]|9{MARKS}[0-58]|[0-9](?:{MARKS}[0-9]){{2}})"
 #: Candidates per entity that are checked for collisions.
 ATTEMPTS = 4
 
@@ -60,9 +63,10 @@ def luhn(digits: Column) -> Column:
 
 
 def canonical(kind: Column, found: Column) -> Column:
-    """What mentions of one entity share: an address in lower case, a number without its format, a name without its title."""
+    """What mentions of one entity share: an address in lower case, a number without its format but for a leading plus, a name
+    without its title."""
     bare = F.regexp_replace(found, rf"^(?:{'|'.join(TITLES)})\.? ", "")
-    return F.when(kind == "email", F.lower(found)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(found, "[^0-9]", "")).when(kind == "name", bare).otherwise(found)
+    return F.when(kind == "email", F.lower(found)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(found, "[^0-9+]", "")).when(kind == "name", bare).otherwise(found)
 
 
 def keyed(key: str, *parts: Column) -> Column:
@@ -133,7 +137,8 @@ def surrogate(kind: Column, found: Column, key: str, attempt: Column) -> Column:
     email = F.concat(permuted(F.lower(found), key, tweak), F.lit(".example"))
     out = F.when(kind == "email", email).when(kind == "ip", surrogate_ip(found, key, tweak))
     out = out.when(kind == "card", surrogate_card(found, key, tweak)).when(kind == "name", surrogate_name(found, key, tweak))
-    country = F.regexp_extract(found, r"^(\+[0-9]{1,3}[ .(-])?", 1)
+    # marks don't count in a permutation, so all formats of a number get the same digits
+    country = F.regexp_extract(found, rf"^({COUNTRY})?", 1)
     phone = F.concat(country, permuted(F.substring(found, F.length(country) + 1, F.length(found)), key, tweak))
     return out.when(kind == "phone", phone).when(kind == "ssn", permuted(found, key, tweak)).otherwise(found)
 
