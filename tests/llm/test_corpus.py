@@ -224,6 +224,13 @@ def test_surrogates_stay_distinct_and_collisions_are_drawn_again(spark):
     assert more[7] != clash and len(set(more.values())) == len(ips) + 1 and more[8] == made[8]
 
 
+def test_surrogates_of_crowded_formats_are_new_and_distinct(spark):
+    names = [a + b for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"][:80]  # most of the format
+    rows = spark.createDataFrame([(i, f"Mr {n}") for i, n in enumerate(names)], "doc_id long, text string")
+    made = [r.text.removeprefix("Mr ") for r in pii.replace_private(rows).collect()]
+    assert len(set(made)) == len(names) and not set(made) & set(names)
+
+
 def test_surrogates_of_phones_have_one_number_in_all_formats(spark):
     forms = ["+1 499-555-6503", "+14995556503", "+1 (499) 555-6503", "+1.499.555.6503"]
     rows = spark.createDataFrame([*enumerate(forms), (9, "499-555-6503")], "doc_id long, text string")

@@ -43,8 +43,8 @@ ANY = rf"(?<![\p{{L}}\p{{N}}])(?:(?=[\p{{L}}\p{{N}}._%+-]++@){EMAIL}|(?=[0-9+(])
 #: Marks that may stand between the digits of a phone number, and a country code as the numbering plan has them.
 MARKS = r"[ .()-]*"
 COUNTRY = rf"\+(?:[17]|2{MARKS}[07]|3{MARKS}[0-469]|4{MARKS}[013-9]|5{MARKS}[1-8]|6{MARKS}[0-6]|8{MARKS}[1246]|9{MARKS}[0-58]|[0-9](?:{MARKS}[0-9]){{2}})"
-#: Candidates per entity that are checked for collisions.
-ATTEMPTS = 4
+#: Draws of a name after which it grows by a letter, as its format may be used up; and draws after which there is an error.
+WIDER, DRAWS = 4, 100
 
 
 def kind_of(found: Column) -> Column:
@@ -143,6 +143,14 @@ def surrogate(kind: Column, found: Column, key: str, attempt: Column) -> Column:
     return out.when(kind == "phone", phone).when(kind == "ssn", permuted(found, key, tweak)).otherwise(found)
 
 
+def surrogates(found: Column, key: str) -> Column:
+    """The replacements of an array of (kind, mention, attempt). Each is bound before it is used, so that it is worked out
+    once; names are made wider before they are replaced."""
+    wide = lambda f: F.concat(f["mention"], F.repeat(F.lower(F.right(f["mention"], F.lit(1))), F.when(f["kind"] == "name", F.floor(f["attempt"] / WIDER).cast("int")).otherwise(0)))
+    bound = F.transform(found, lambda f: F.struct(f["kind"].alias("kind"), wide(f).alias("mention"), f["attempt"].alias("attempt")))
+    return F.transform(bound, lambda f: F.when(f["kind"].isNull(), f["mention"]).otherwise(surrogate(f["kind"], f["mention"], key, f["attempt"])))
+
+
 def find(docs: DataFrame) -> DataFrame:
     """(``doc_id``, ``text``, ``pieces``, ``found``): the text between mentions, and the mentions as (kind, mention); a kind of
     null is a number that only looks like a card, and stays."""
@@ -156,20 +164,37 @@ def find(docs: DataFrame) -> DataFrame:
 def overrides(found: DataFrame, key: str) -> DataFrame:
     """Entities whose first surrogate collides: (``kind``, ``entity``, ``attempt``), the first attempt that doesn't.
 
-    All distinct entities of the corpus are gathered by a pre-aggregated group-by, and so are the first ``ATTEMPTS``
-    surrogates of each. One that equals an entity of the corpus, or a surrogate of another entity, is not used. If none
-    is free, the attempt after the last is taken: permutations keep its surrogates distinct among themselves.
+    All distinct entities of the corpus are gathered by a pre-aggregated group-by, each with its first surrogate. One that
+    equals an entity of the corpus, or that an entity before it in order has drawn too, is drawn again, and only those:
+    round by round, against all entities and all surrogates in use, until none is left. Names whose format may be used up
+    grow by a letter every ``WIDER`` draws.
     """
     seen = found.select(F.explode("found").alias("f")).filter("f.kind is not null").select("f.kind", canonical(F.col("f.kind"), F.col("f.mention")).alias("entity")).distinct()
-    tries = seen.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))))
-    made = canonical(F.col("kind"), surrogate(F.col("kind"), F.col("entity"), key, F.col("attempt")))
-    tries = tries.select("kind", "entity", "attempt", made.alias("made"))
-    claims = tries.unionByName(seen.select("kind", "entity", F.lit(-1).alias("attempt"), F.col("entity").alias("made")))
-    claims = cut(claims)
-    taken = claims.groupBy("kind", "made").agg(F.count("*").alias("n")).filter("n > 1")
-    tries = claims.filter("attempt >= 0")
-    free = tries.join(taken, ["kind", "made"], "left").groupBy("kind", "entity").agg(F.min(F.when(F.col("n").isNull(), F.col("attempt"))).alias("attempt"))
-    return free.select("kind", "entity", F.coalesce("attempt", F.lit(ATTEMPTS)).alias("attempt")).filter("attempt > 0")
+
+    def made(rows: DataFrame) -> DataFrame:
+        one = F.array(F.struct("kind", F.col("entity").alias("mention"), "attempt"))
+        return rows.withColumn("made", F.transform(surrogates(one, key), lambda m: canonical(F.col("kind"), m))[0])
+
+    drawn = made(seen.withColumn("attempt", F.lit(0)))
+    # in use: entities (attempt -1) and, from each round, the surrogates that stay
+    used = cut(drawn.unionByName(seen.select("kind", "entity", F.lit(-1).alias("attempt"), F.col("entity").alias("made"))))
+    first = used.groupBy("kind", "made").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    late = used.filter("attempt = 0").join(first, ["kind", "made"]).filter("first.attempt < 0 or first.entity <> entity")
+    open_ = cut(late.select("kind", "entity", "attempt"))
+    again = open_.limit(0)
+    # surrogates that were given up stay in use, so that none is drawn by another one later
+    for attempt in range(1, DRAWS):
+        if open_.isEmpty():
+            return again
+        tries = cut(made(open_.withColumn("attempt", F.lit(attempt))))
+        taken = used.join(tries.select("kind", "made").distinct(), ["kind", "made"], "left_semi").select("kind", "made").distinct()
+        free = tries.join(taken, ["kind", "made"], "left_anti")
+        kept = cut(free.groupBy("kind", "made").agg(F.min("entity").alias("entity")).select("kind", "entity", F.lit(attempt).alias("attempt"), "made"))
+        used, again = used.unionByName(kept), again.unionByName(kept.drop("made"))
+        open_ = cut(open_.join(kept, ["kind", "entity"], "left_anti"))
+    if open_.isEmpty():
+        return again
+    raise RuntimeError(f"some surrogates collide after {DRAWS} draws")
 
 
 def replace_private(docs: DataFrame, key: str = "tidemark") -> DataFrame:
@@ -195,7 +220,8 @@ def replace_private(docs: DataFrame, key: str = "tidemark") -> DataFrame:
         told = said.join(again, ["kind", "entity"]).groupBy(F.col("doc_id").alias("told_id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "entity"), "attempt"))).alias("again"))
         rows = rows.join(told, rows["doc_id"].eqNullSafe(told["told_id"]), "left")
         attempt = lambda kind, mention: F.coalesce(F.try_element_at(F.col("again"), F.concat_ws(":", kind, canonical(kind, mention))), F.lit(0))
-    new = F.transform("found", lambda f: F.when(f["kind"].isNull(), f["mention"]).otherwise(surrogate(f["kind"], f["mention"], key, attempt(f["kind"], f["mention"]))))
+    drawn = F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["mention"].alias("mention"), attempt(f["kind"], f["mention"]).alias("attempt")))
+    new = surrogates(drawn, key)
     # a piece before each mention and one after the last
     joined = F.array_join(F.flatten(F.zip_with("pieces", new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     kinds = F.filter(F.transform("found", lambda f: f["kind"]), lambda k: k.isNotNull())
