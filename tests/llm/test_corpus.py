@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -158,10 +160,68 @@ def test_dropout_is_lossless_and_repeats(spark, odd, docs):
     assert a == b and a != c
     back = merge_dropout.detokenized(merge_dropout.tokenized(odd))
     assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((i, t or "") for i, t, *_ in ODD)
+    # texts encoded together get the same ids as one by one
+    coder = merge_dropout.Encoder(merge_dropout.load(), 0.3, 1, 0)
+    texts = [t or "" for _, t in docs[:50]]
+    assert [x.tolist() for x in coder.encode(texts, list(range(50)))] == [merge_dropout.encode(t, coder, i).tolist() for i, t in enumerate(texts)]
+
+
+def plainly(part, v, skips):
+    """Symbols of a part by scanning all candidates for the best and leftmost each time; the candidates ``skips`` are skipped."""
+    symbols, blocked, taken = [merge_dropout.SPACE if c == " " else c for c in part], set(), 0
+    while True:
+        starts = list(itertools.accumulate([0, *map(len, symbols)]))
+        found = [(v.merges[p][0], i) for i in range(len(symbols) - 1) if (p := symbols[i] + symbols[i + 1]) in v.merges and (starts[i], starts[i + 1], starts[i + 2]) not in blocked]
+        if not found:
+            return symbols
+        _, i = min(found)
+        if next_is(skips, taken):
+            blocked.add((starts[i], starts[i + 1], starts[i + 2]))
+        else:
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        taken += 1
+
+
+def next_is(skips, taken):
+    if skips[0] != taken:
+        return False
+    skips[0] = skips[1]()
+    return True
+
+
+def plain_ids(text, document, v, dropout, seed):
+    """Ids of a text part by part, in plain Python numbers."""
+    parts, kind = [], [int(v.kind[ord(c)]) for c in " " + text]
+    for i, c in enumerate(" " + text if text else ""):
+        a, b = kind[i - 1] if i else 9, kind[i]
+        new = i == 0 or (b == 0 and a != 0) or a == 1 or b == 1 or (a != b and a > 1 and b > 1)
+        parts.append(c) if new else parts.append(parts.pop() + c)
+    key, out = merge_dropout.spread(xxhash.xxh64_intdigest(f"{seed}") ^ merge_dropout.spread(document)), []
+    for place, part in enumerate(parts, 1):
+        state = [merge_dropout.spread(place * merge_dropout.PLACE + key)]
+        gap = lambda: int(math.log(((state[0] >> 11) + 0.5) * 2.0**-53) / math.log1p(-dropout))  # noqa: B023, E731
+        at = [gap()]
+
+        def following():
+            state[0] = merge_dropout.spread(state[0] + merge_dropout.PLACE)
+            at[0] += 1 + gap()
+            return at[0]
+
+        for s in part if merge_dropout.SPACE in part else plainly(part, v, [at[0], following]):
+            out.extend([v.ids[s][0]] if s in v.ids and merge_dropout.SPACE not in part else [v.byte[b] for b in s.encode()])
+    return out
+
+
+def test_dropout_equals_a_plain_encoder(docs):
     v = merge_dropout.load()
-    tiny = merge_dropout.Encoder(v, 0.3, 1, 0, limit=4)
-    large = merge_dropout.Encoder(v, 0.3, 1, 0)
-    assert all((merge_dropout.encode(t or "", tiny) == merge_dropout.encode(t or "", large)).all() for _, t in docs[:50])
+    coder = merge_dropout.Encoder(v, 0.1, 11)
+    short = [(i, t[:600]) for i, t in docs if t][:150] + [(10_000 + k, t) for k, (_, t, *_) in enumerate(ODD) if t and len(t) < 500] + [(20_000, "=" * 150 + " a" + "b" * 130)]
+    for (i, t), got in zip(short, coder.encode([t for _, t in short], [i for i, _ in short]), strict=True):
+        assert got.tolist() == plain_ids(t, i, v, 0.1, 11)
+    # a frequent word is cut in many ways over 1,000 documents
+    for word in (" documentation", " understanding", " international"):
+        cuts = {tuple(x.tolist()) for x in coder.encode([word[1:]] * 1000, list(range(1000)))}
+        assert len(cuts) > 20 and cuts == {tuple(plain_ids(word[1:], i, v, 0.1, 11)) for i in range(1000)}
 
 
 def test_dropout_draws_for_each_occurrence(spark):
@@ -169,18 +229,20 @@ def test_dropout_draws_for_each_occurrence(spark):
     rows = [(i, "international " * 200, 0) for i in range(20)] + [(0, "international " * 200, 1)]
     made = merge_dropout.tokenized(spark.createDataFrame(rows, "doc_id long, text string, copy int"), copy="copy").collect()
     assert all(r.lossless for r in made) and len({tuple(r.ids) for r in made}) == len(rows)
-    cuts, part = Counter(), " international"
+    cuts, drawn, dice = Counter(), Counter(), random.Random(5)
     coder = merge_dropout.Encoder(v, 0.1, 11)
     for document in range(20):
-        cuts.update(coder.all_of([part] * 1000, document))
-    assert len(cuts) > 10
+        line = coder.encode(["international " * 1000], [document])[0]
+        words = merge_dropout.decode(line, v).split()
+        assert len(words) == 1000
+        cut = np.flatnonzero([v.text[i].startswith(b" ") for i in line.tolist()])
+        cuts.update(tuple(x.tolist()) for x in np.split(line, cut[1:])[:1000])
     # each cut as often as if every candidate were drawn by itself
-    drawn, dice = Counter(), random.Random(5)
-    for _ in range(20_000):
-        drawn[coder.cut(part, (i for i in itertools.count() if dice.random() < 0.1))[1]] += 1
-    assert all(cuts[c] / 20_000 == pytest.approx(drawn[c] / 20_000, abs=0.02) for c in {*cuts, *drawn})
-    few = merge_dropout.Encoder(v, 0.1, 11, limit=4)
-    assert coder.all_of([part, " a", part] * 50, 7) == few.all_of([part, " a", part] * 50, 7)
+    for _ in range(5000):
+        at = itertools.count()
+        tosses = (i for i in at if dice.random() < 0.1)
+        drawn[tuple(v.ids[s][0] for s in plainly(" international", v, [next(tosses), lambda tosses=tosses: next(tosses)]))] += 1
+    assert len(cuts) > 10 and all(cuts[c] / 20_000 == pytest.approx(drawn[c] / 5000, abs=0.03) for c in {*cuts, *drawn})
 
 
 def test_copies_of_the_mix_are_numbered(spark):
