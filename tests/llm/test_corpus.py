@@ -141,6 +141,14 @@ def test_passages_equal_brute_force(spark, docs, odd):
     for start in (1, 13):
         got = substring.repeated_passages(more, start=start, number=3).drop("kept_text").collect()
         assert sorted((str(r[0]), *r[1:]) for r in got) == brute_passages([(r.doc_id, r.text) for r in more.collect()])
+    # words that a polynomial modulo 2^64 can't tell apart, whatever its base
+    thue = "a"
+    while len(thue) < 1024:
+        thue += thue.translate({97: "b", 98: "a"})
+    same = [f"w{k}" for k in range(12)]
+    pair = [(1, " ".join([*same, thue])), (2, " ".join([*same, thue.translate({97: "b", 98: "a"})])), (3, " ".join([*same, thue]))]
+    got = substring.repeated_passages(spark.createDataFrame(pair, "doc_id long, text string"), number=2).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (2, 0), (3, 13)]
     assert substring.repeated_passages(odd.limit(0)).count() == 0
 
 
@@ -365,6 +373,46 @@ def test_targets_are_the_fixed_point(spark):
     assert got == pytest.approx(want)
 
 
+def plain_branches(text):
+    """Sections as lists of paragraphs as lists of passages, of the bytes themselves, byte by byte."""
+    passages, begin, before = [], 0, None
+    for i, byte in enumerate(text):
+        sums = sum(int(merkle.GEAR[text[i - k]]) << k for k in range(min(merkle.BEHIND, i + 1))) % 2**32
+        hit = sums >> 16 & (merkle.PASSAGE - 1) == 0 and sums != before
+        before = sums
+        if hit or byte == 10 or i + 1 == len(text) or i + 1 - begin == merkle.LONGEST:
+            passages.append(text[begin : i + 1])
+            begin = i + 1
+    sections, lines = [[]], [[]]
+    for x in passages:
+        lines[-1].append(x)
+        if x.endswith(b"\n"):
+            lines.append([])
+    for line in filter(None, lines):
+        sections[-1].append(line)
+        if b"".join(line).endswith(b"\n") and not b"".join(line).strip():
+            sections.append([])
+    return [x for x in sections if x]
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+
+    def apart(x, y):
+        x, y = list(x), list(y)
+        for item in list(x):
+            if item in y:
+                x.remove(item)
+                y.remove(item)
+        return x, y
+
+    x, y = apart(plain_branches(a), plain_branches(b))
+    for _ in range(2):
+        x, y = apart([p for n in x for p in n], [p for n in y for p in n])
+    return 1 - sum(map(len, x + y)) / len(a + b)
+
+
 def test_merkle(spark, docs, odd):
     got = {r.doc_id: r for r in queries.queries()["op8_merkle_fingerprints"](spark, SF).collect()}
     order = sorted(docs, reverse=True)
@@ -372,9 +420,17 @@ def test_merkle(spark, docs, odd):
         a, b = t or "", order[(k + 1) % len(order)][1] or ""
         changed = a[: len(a) - len(a) // 3] + b[: len(a) // 3]
         assert got[i].n_chars == len(a) and got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
-        assert [got[i].fingerprint, got[i].edited_fingerprint] == merkle.fingerprints([a.encode(), changed.encode()])
+        if len(a) + len(b) < 6000:
+            assert got[i].near_edited == pytest.approx(plain_likeness(a.encode(), changed.encode()), abs=1e-12)
+            assert got[i].near_next == pytest.approx(plain_likeness(a.encode(), b.encode()), abs=1e-12)
         assert got[i].near_edited == merkle.likeness(got[i].fingerprint, got[i].edited_fingerprint)
-    assert sum(r.near_edited > r.near_next for r in got.values()) > 0.9 * len(got)
+    assert len(got) == len(order) and sum(r.near_edited > r.near_next for r in got.values()) > 0.95 * len(got)
+    long = [r for r in got.values() if r.n_chars > 500 and r.near_next < 0.1]
+    assert sum(0.55 < r.near_edited < 0.85 for r in long) > 0.97 * len(long) > 100
+    by_text = defaultdict(set)
+    for i, t in docs:
+        by_text[t or ""].add(got[i].fingerprint)
+    assert all(len(f) == 1 for f in by_text.values()) and len({f for x in by_text.values() for f in x}) == len(by_text)
     rows = merkle.merkle_fingerprints(odd).collect()
     assert len(rows) == len(ODD) and {r.doc_id: r.near_next for r in rows}[2] == 1.0
     assert len({r.fingerprint for r in rows if r.doc_id in (4, 5)}) == 1
@@ -382,11 +438,16 @@ def test_merkle(spark, docs, odd):
 
 
 def test_merkle_locates_edits():
-    a = b"one\ntwo\n\nthree\nfour\n\nfive\n"
-    b = a.replace(b"four", b"4")
-    (x, y), = merkle.edits(merkle.tree(a), merkle.tree(b))
-    assert a[x.start : x.end] == b"four\n" and b[y.start : y.end] == b"4\n"
-    assert merkle.tree(a).digest == merkle.tree(bytes(a)).digest and merkle.edits(merkle.tree(a), merkle.tree(a)) == []
+    text = b"".join(b"line %d has some words of its own\n%s" % (i, b"\n" * (i % 3 == 0)) for i in range(30))
+    other = text.replace(b"line 17 has some", b"line 17 had many")
+    prints = [merkle.fingerprint(merkle.tree(t)) for t in (text, other)]
+    (a,), (b,) = merkle.edits(*prints)
+    at = text.index(b"line 17")
+    assert at <= a[0] < a[1] <= at + 40 and b"has some" in text[a[0] : a[1]] and b"had many" in other[b[0] : b[1]]
+    assert merkle.edits(prints[0], prints[0]) == ([], [])
+    assert merkle.likeness(merkle.fingerprint(merkle.tree(b"")), prints[0]) == 0.0
+    run = merkle.tree(b"w" * 100_000)
+    assert max(p.end - p.start for s in run.parts for q in s.parts for p in q.parts) <= merkle.LONGEST
 
 
 def test_toxicity_on_held_out_documents(spark):

@@ -23,5 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": exact_dedup.ORACLE,
+        "op3_repeated_passages": substring.ORACLE,
         "op7_mix_sources": mixing.ORACLE,
     }
