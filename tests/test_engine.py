@@ -2,10 +2,15 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import native
+from tidemark.functions import tracks as T
+from tidemark.functions.agents import Agent, Desk
+from tidemark.functions.tracks import P2
 from tidemark.operators import detect, features, report
 from tidemark.plans import queries as Q
-from tidemark.plans.config import Config
+from tidemark.plans.config import CATEGORICAL, NUMERIC, AlertPolicy, Config
 from tidemark.sources import turns as S
 
 SF = "/root/testdata/sf0.001"
@@ -39,9 +44,47 @@ def test_query_equals_sql(spark, con, name):
     assert all(all(map(same, x, y)) for x, y in zip(a, b))
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES) - {"supplier_drift"}))
-def test_query_runs(spark, name):
-    assert Q.QUERIES[name](spark, SF).columns
+@pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES)))
+def test_query_without_sql_has_rows(spark, name):
+    assert Q.QUERIES[name](spark, SF).collect()
+
+
+def test_reports_equal_a_replay_in_order(spark):
+    cfg = Config(warmup=20, window=10)
+    t = features.wide(features.sequenced(S.events_by_user(S.table(spark, SF, "events"))))
+    got = {(r.agent_id, r.seq): r for r in report.observed(t, cfg).collect()}
+    agents: dict = {}
+    for row in sorted(t.collect(), key=lambda r: (r.agent_id, r.seq)):
+        agent, desk = agents.setdefault(row.agent_id, (Agent(cfg), Desk(row.agent_id, cfg.alerts)))
+        ms = detect.millis(row.ts)
+        r = agent.observe({f: row[f] for f in NUMERIC if row[f] is not None}, {f: row[f] for f in CATEGORICAL if row[f]}, ms)
+        alerts, log = desk.take(r, ms)
+        x = got.pop((row.agent_id, row.seq))
+        assert (x.status, x.severity, x.behavior_score) == (r["status"], r["severity"], r["behavior_score"])
+        for name in ("findings", "attributions", "forecasts"):
+            assert [y.asDict() for y in x[name]] == [{k: v for k, v in y.items()} for y in r[name]]
+        assert [y.asDict() for y in x.alerts] == alerts and [y.asDict() for y in x.events] == log
+    assert not got
+
+
+def test_p2_in_spark_is_that_of_a_replay(spark):
+    rows = S.events_by_type(S.table(spark, SF, "events")).orderBy("ts", "tie").collect()
+    for r in Q.QUERIES["p2_quantiles"](spark, SF).collect():
+        marks = [P2(p) for p in (0.5, 0.95, 0.99)]
+        for x in (x.latency_ms for x in rows if x.agent_id == r.agent_id):
+            for m in marks:
+                m.push(x)
+        assert (r.n, r.p50, r.p95, r.p99) == (marks[0].n, *(m.value for m in marks))
+
+
+def test_a_line_keeps_its_digits_on_long_histories(spark):
+    values = [1e6 + 0.25 * i for i in range(200)]
+    frame = spark.createDataFrame([("a", i, i * 60_000, v) for i, v in enumerate(values)], "k string, i long, ms long, v double")
+    got = native.line(frame, ["k"], ["i"], "v", "ms", 20).filter("i >= 19").collect()
+    assert all(abs(r.slope - 0.25) < 1e-9 and abs(r.next_value - (1e6 + 0.25 * (r.i + 1))) < 1e-6 and abs(r.slope_hour - 15) < 1e-6 for r in got)
+    k, n = range(0, 41, 5), 40
+    rows = spark.createDataFrame([(i, n) for i in k], "k int, n int").select("k", native.binomial_tail(F.col("k"), F.col("n"), F.lit(0.3)).alias("t")).collect()
+    assert all(math.isclose(r.t, T.binomial_tail(r.k, n, 0.3), rel_tol=1e-9) for r in rows)
 
 
 def test_feature_rules(spark):
@@ -55,11 +98,11 @@ def test_feature_rules(spark):
 
 def test_simulated_run(spark):
     t = features.sequenced(S.simulate(spark, [7], 160))
-    e = detect.evaluate(features.long(features.wide(t)), Config(warmup=30)).cache()
-    r = {x.seq: x for x in report.reports(e, 30).collect()}
+    seen = report.observed(features.wide(t), Config(warmup=30)).cache()
+    r = {x.seq: x for x in report.reports(seen).collect()}
     assert r[30].status == "learning" and r[31].status == "ready" and r[160].behavior_score == 74
     assert min(s for s, x in r.items() if x.severity != "none" and s > 96) == 139
-    first = report.fresh_forecasts(report.forecasts(e, 30)).filter("seq > 96").orderBy("seq").first()
+    first = report.fresh_forecasts(report.forecasts(seen)).filter("seq > 96").orderBy("seq").first()
     assert first.seq == 113 and "(1438.64) in about 0.78 h (94 observations)" in first.summary
     top = r[160].attributions
     assert [a.feature for a in top] == ["toolFailureRate", "errorRate"] and top[0].summary == "toolFailureRate is above baseline: observed 0.26 vs expected 0.09 (z=3.47)"
@@ -75,20 +118,68 @@ def test_restore_goes_on_where_it_stopped(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from tidemark.streaming.engine import stream_reports
-
-    cfg = Config(warmup=20, window=10)
-    t = S.events_by_user(S.table(spark, SF, "events"))
-    batch = {(r.agent_id, r.seq): (r.severity, r.behavior_score) for r in report.reports(detect.evaluate(features.long(features.wide(features.sequenced(t))), cfg), cfg.warmup).collect()}
+    from tidemark.operators import alerts
+    from tidemark.streaming.engine import deliver, stream_observed
+
+    cfg = Config(warmup=20, window=10, alerts=AlertPolicy(cooldown_ms=6 * 3_600_000))
+    t = S.events_by_user(S.table(spark, SF, "events")).withColumn("metadata", F.create_map(F.lit("k"), F.col("tie").cast("string")))
+    # turns of one time, in the order of their ties
+    t = t.withColumn("ts", F.date_trunc("day", "ts"))
+    batch = report.observed(features.wide(features.sequenced(t)), cfg).cache()
     ordered = t.orderBy("ts").toPandas()
-    for i, part in enumerate((ordered[:400], ordered[400:])):
-        spark.createDataFrame(part, t.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for part in (ordered[ordered.ts < "2024-01-13"], ordered[ordered.ts >= "2024-01-13"]):
+        spark.createDataFrame(part.sample(frac=1, random_state=1), t.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = stream_reports(stream, cfg).writeStream.format("memory").queryName("reports").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+
+    def send(channel, ident, payload):
+        if channel == "email":
+            raise OSError("no way out")
+
+    batches = deliver(send, ["slack", "email"], str(tmp_path / "sent"), str(tmp_path / "log"))
+
+    def both(seen, number):
+        seen.write.mode("append").parquet(str(tmp_path / "seen"))
+        batches(seen, number)
+
+    q = stream_observed(stream, cfg).writeStream.foreachBatch(both).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
     q.processAllAvailable()
     q.stop()
-    got = {(r.agent_id, r.seq): (r.severity, r.behavior_score) for r in spark.table("reports").collect()}
-    assert got == batch
+    key = lambda df: sorted(map(str, df.collect()))
+    got = spark.read.parquet(str(tmp_path / "seen"))
+    assert key(got.select(*batch.columns)) == key(batch)
+    allowed = {r.alert_id for r in alerts.governed(batch).filter("allowed").collect()}
+    sent = spark.read.parquet(str(tmp_path / "sent")).collect()
+    assert allowed and {(r.alert_id, r.channel, r.ok) for r in sent} == {(i, c, c == "slack") for i in allowed for c in ("slack", "email")}
+    log = spark.read.parquet(str(tmp_path / "log")).drop("batch")
+    counts = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert counts["alert.dispatched"] == counts["alert.failed"] == len(allowed)
+    plain = log.filter(~F.col("kind").isin("alert.dispatched", "alert.failed"))
+    assert key(plain.select(*alerts.telemetry(batch).columns)) == key(alerts.telemetry(batch))
+
+
+def test_turns_without_a_time_have_that_of_their_arrival(spark, tmp_path):
+    from tidemark.streaming.engine import stream_reports
+
+    t = S.events_by_user(S.table(spark, SF, "events")).limit(20).withColumn("ts", F.when(F.col("tie") % 2 == 0, F.col("ts")))
+    assert report.observed(features.wide(features.sequenced(t)), Config()).filter("ts is null").count() == 0
+    t.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(t.schema).parquet(str(tmp_path / "in"))
+    q = stream_reports(stream, Config()).writeStream.format("memory").queryName("untimed").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("untimed").filter("ts is not null").count() == 20
+
+
+def test_alerts_carry_the_metadata_of_their_turn(spark):
+    import json
+
+    from tidemark.operators import alerts
+    from tidemark.sinks import payloads
+
+    t = features.sequenced(S.simulate(spark, [7], 160)).withColumn("metadata", F.create_map(F.lit("build"), F.col("seq").cast("string")))
+    made = alerts.governed(report.observed(features.wide(t), Config(warmup=30)), enrich=lambda m: F.concat(m, F.lit(" See the log.")))
+    rows = payloads.payloads(made).filter("channel = 'webhook'").collect()
+    assert rows and all(json.loads(r.payload)["metadata"]["build"] for r in rows) and all(json.loads(r.payload)["message"].endswith("See the log.") for r in rows)
 
 
 def test_payloads_are_json(spark):

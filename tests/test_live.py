@@ -31,11 +31,11 @@ def test_simulated_run_as_lines():
 
 
 def test_live_equals_batch(spark):
-    from tidemark.operators import detect, features, report
+    from tidemark.operators import features, report
     from tidemark.sources.turns import simulate as rows
 
     cfg = Config(warmup=30)
-    want = {r.seq: r for r in report.reports(detect.evaluate(features.long(features.wide(features.sequenced(rows(spark, [7], 160)))), cfg), 30).collect()}
+    want = {r.seq: r for r in report.observed(features.wide(features.sequenced(rows(spark, [7], 160))), cfg).collect()}
     engine = Live(cfg)
     for t in simulated_turns(7, 160, 96):
         r, w = engine.observe(as_json(t)), want[engine.agents["sim-agent"].seq]

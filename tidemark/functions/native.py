@@ -58,10 +58,26 @@ def log_choose(n: Column, k: Column) -> Column:
 
 
 def binomial_tail(k: Column, n: Column, p: Column) -> Column:
-    """P(X >= k) of a binomial X."""
-    term = lambda i: F.exp(log_choose(n, i) + i * F.log(p) + (n - i) * F.log(1 - p))
-    total = F.aggregate(F.sequence(F.greatest(k, F.lit(1)).cast("int"), F.greatest(n, k, F.lit(1)).cast("int")), F.lit(0.0), lambda acc, i: acc + term(i))
-    return F.when((k <= 0) | ((p >= 1) & (k <= n)), F.lit(1.0)).when((k > n) | (p <= 0), F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
+    """P(X >= k) of a binomial X. The terms from k away from the mean are summed relative to the first, each from the one
+    before by their ratio: upwards for k above the mean, else downwards from k - 1, and what is left of 1."""
+    up = k > n * p
+    at = F.when(up, k).otherwise(k - 1).cast("int")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+
+    def summed(steps, ratio):
+        def step(acc, i):
+            term = acc["term"] * ratio(i)
+            return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+        return F.aggregate(steps, start, step, lambda acc: acc["total"])
+
+    none = F.array().cast("array<int>")
+    odds = p / (1 - p)
+    above = summed(F.when(up & (at < n), F.sequence(at, (n - 1).cast("int"))).otherwise(none), lambda i: (n - i) / (i + 1) * odds)
+    below = summed(F.when(~up & (at > 0), F.sequence(at, F.lit(1), F.lit(-1))).otherwise(none), lambda i: i / (n - i + 1) / odds)
+    first = F.exp(log_choose(n, at) + at * F.log(p) + (n - at) * F.log(1 - p))
+    total = F.when(up, first * above).otherwise(1 - first * below)
+    return F.when((k <= 0) | ((p >= 1) & (k <= n)), F.lit(1.0)).when((k > n) | (p <= 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
 def polynomial(coefficients, x: Column) -> Column:
@@ -82,8 +98,9 @@ def inverse_normal(p: Column) -> Column:
 
 def rate_z(count: Column, n: Column, rate: Column) -> Column:
     k = F.ceil(count - 1e-9)
-    tail = binomial_tail(k, n, rate)
-    return F.when((k <= 0) | (count <= n * rate), F.lit(0.0)).when(tail >= 0.5, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), -inverse_normal(tail)))
+    # bound to a name, so that the tail is worked out once
+    z = F.transform(F.array(binomial_tail(k, n, rate)), lambda tail: F.when(tail >= 0.5, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), -inverse_normal(tail))))
+    return F.when((k <= 0) | (count <= n * rate), F.lit(0.0)).otherwise(F.element_at(z, 1))
 
 
 def line(points: DataFrame, keys: list[str], order: list[str], value: str, millis: str, width: int) -> DataFrame:
@@ -92,18 +109,16 @@ def line(points: DataFrame, keys: list[str], order: list[str], value: str, milli
     w = Window.partitionBy(*keys).orderBy(*order)
     frame = w.rowsBetween(1 - width, 0)
     rows = points.withColumn("__i", F.row_number().over(w).cast("double"))
-    # index and value relative to the frame, so that sums stay small
-    n, first = F.count(value).over(frame), F.min("__i").over(frame)
-    sx, sy = F.sum("__i").over(frame), F.sum(value).over(frame)
-    sxy, syy = F.sum(F.col("__i") * F.col(value)).over(frame), F.sum(F.col(value) * F.col(value)).over(frame)
-    rows = rows.withColumns({"__n": n.cast("double"), "__first": first, "__sx": sx, "__sy": sy, "__sxy": sxy, "__syy": syy, "__span": (F.max(millis).over(frame) - F.min(millis).over(frame)).cast("double")})
-    N = F.col("__n")
-    sxx = N * (N * N - 1) / 12
-    cross = F.col("__sxy") - F.col("__sx") * F.col("__sy") / N
-    rows = rows.filter("__n >= 3").withColumn("slope", cross / sxx)
-    rss = F.greatest(F.lit(0.0), F.col("__syy") - F.col("__sy") * F.col("__sy") / N - F.col("slope") * cross)
-    rows = rows.withColumn("t", F.abs("slope") / F.greatest(F.sqrt(rss / (N - 2) / sxx), F.lit(1e-12)))
-    rows = rows.withColumn("next_value", F.col("__sy") / N + F.col("slope") * (N + 1) / 2)
+    # sums of products about the means of the frame, so a long history costs no digits
+    found = {"__n": F.count(value), "__cov": F.covar_pop(value, "__i"), "__var": F.var_pop(value), "__mean": F.avg(value), "__late": F.max(millis), "__early": F.min(millis)}
+    rows = rows.withColumns({name: c.over(frame) for name, c in found.items()}).withColumn("__n", F.col("__n").cast("double")).filter("__n >= 3")
+    n = F.col("__n")
+    rows = rows.withColumns({"__sxx": n * (n * n - 1) / 12, "__sxy": F.col("__cov") * n, "__syy": F.col("__var") * n})
+    N, span = F.col("__n"), (F.col("__late") - F.col("__early")).cast("double")
+    rows = rows.withColumn("__span", span).withColumn("slope", F.col("__sxy") / F.col("__sxx"))
+    rss = F.greatest(F.lit(0.0), F.col("__syy") - F.col("slope") * F.col("__sxy"))
+    rows = rows.withColumn("t", F.abs("slope") / F.greatest(F.sqrt(rss / (N - 2) / F.col("__sxx")), F.lit(1e-12)))
+    rows = rows.withColumn("next_value", F.col("__mean") + F.col("slope") * (N + 1) / 2)
     rows = rows.withColumn("slope_hour", F.when(F.col("__span") > 0, F.col("slope") * (N - 1) * 3.6e6 / F.col("__span")).otherwise(F.lit(0.0)))
     return rows.drop(*(c for c in rows.columns if c.startswith("__")))
 

@@ -204,11 +204,14 @@ def trend(points: list[tuple[int, float]]) -> tuple[float, float, float, float]
     n = len(points)
     if n < 3:
         return None
-    mx, my = (n - 1) / 2, sum(v for _, v in points) / n
-    sxx = sum((i - mx) ** 2 for i in range(n))
-    slope = sum((i - mx) * (v - my) for i, (_, v) in enumerate(points)) / sxx
+    values = [v for _, v in points]
+    mx, my = (n - 1) / 2, math.fsum(values) / n
+    sxx = n * (n * n - 1) / 12
+    apart = [v - my for v in values]
+    cross = math.sumprod(range(n), apart) - mx * math.fsum(apart)
+    slope = cross / sxx
     base = my - slope * mx
-    rss = sum((v - base - slope * i) ** 2 for i, (_, v) in enumerate(points))
+    rss = max(0.0, math.sumprod(apart, apart) - slope * cross)
     error = math.sqrt(rss / (n - 2) / sxx)
     span = points[-1][0] - points[0][0]
     return slope, abs(slope) / max(error, 1e-12), base + slope * n, slope * (n - 1) * 3.6e6 / span if span > 0 else 0.0
@@ -260,14 +263,19 @@ class Gate:
         self.severity, self.calm, self.streak, self.frozen = d["severity"], d["calm"], d["streak"], d["frozen"]
 
 
+#: The quantiles of a snapshot.
+QUANTILES = (0.5, 0.95, 0.99)
+
+
 class Numeric(Gate):
     """A numeric feature."""
 
-    def __init__(self, feature: str, cfg: C.Config):
+    def __init__(self, feature: str, cfg: C.Config, quantiles: bool = True):
         s = cfg.sensitivity
         self.feature, self.cfg, self.rate = feature, cfg, feature in C.RATES
         self.moments, self.ewma, self.shift = Moments(), Ewma(s.ewma_alpha), Shift(s.shift_delta, s.shift_lambda)
-        self.quantiles = [P2(p) for p in (0.5, 0.95, 0.99)]
+        #: Nothing is judged by them, so they are followed only where they are asked for.
+        self.quantiles = [P2(p) for p in QUANTILES] if quantiles else []
         self.ring: deque[tuple[int, float]] = deque(maxlen=cfg.window)
 
     @property
@@ -351,7 +359,7 @@ class Numeric(Gate):
         """Take the window as the new baseline."""
         s = self.cfg.sensitivity
         self.moments, self.ewma, self.shift = Moments(), Ewma(s.ewma_alpha), Shift(s.shift_delta, s.shift_lambda)
-        self.quantiles = [P2(p) for p in (0.5, 0.95, 0.99)]
+        self.quantiles = [P2(q.p) for q in self.quantiles]
         for _, x in self.ring:
             self.absorb_value(x)
         self.severity, self.calm, self.streak, self.frozen = "none", 0, 0, False
@@ -431,5 +439,5 @@ class Categorical(Gate):
         return out
 
 
-def track(feature: str, cfg: C.Config) -> Numeric | Categorical:
-    return (Categorical if feature in C.CATEGORICAL else Numeric)(feature, cfg)
+def track(feature: str, cfg: C.Config, quantiles: bool = True) -> Numeric | Categorical:
+    return Categorical(feature, cfg) if feature in C.CATEGORICAL else Numeric(feature, cfg, quantiles)

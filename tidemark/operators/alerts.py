@@ -1,76 +1,26 @@
-"""Alerts, their governor, and telemetry."""
+"""Alerts, decided on, and the log of a run."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from ..plans.config import SEVERITIES, AlertPolicy
-from .keyed import fold_by_key
-from .report import rank
-
-
-def candidates(reported: DataFrame, policy: AlertPolicy) -> DataFrame:
-    """Alerts that reports give rise to: on findings, on recovery, and on a forecast of a feature that had none before:
-    (``alert_id``, ``agent_id``, ``seq``, ``ts``, ``kind``, ``severity``, ``title``, ``message``, ``behavior_score``, ``attributions``, ``top_feature``)."""
-    w = Window.partitionBy("agent_id").orderBy("seq")
-    names = F.transform("forecasts", lambda f: f["feature"])
-    rows = reported.withColumn("before", F.lag("severity").over(w)).withColumn("known", F.coalesce(F.lag(names).over(w), F.array().cast("array<string>")))
-    drift = F.when(F.col("severity") != "none", F.struct(F.lit(0).alias("at"), F.lit("drift").alias("kind"), F.col("severity").alias("level")))
-    back = F.when((F.col("severity") == "none") & (F.col("before") != "none") & F.lit(policy.notify_recovery), F.struct(F.lit(1).alias("at"), F.lit("recovery").alias("kind"), F.lit("info").alias("level")))
-    ahead = F.when((F.size(F.array_except(names, "known")) > 0) & F.lit(policy.notify_forecast), F.struct(F.lit(2).alias("at"), F.lit("forecast").alias("kind"), F.lit("warning").alias("level")))
-    rows = rows.withColumn("a", F.explode(F.filter(F.array(drift, back, ahead), lambda a: a.isNotNull())))
-    kind = F.col("a.kind")
-    title = F.concat(F.when(kind == "drift", "Behavioral drift detected: ").when(kind == "recovery", "Behavior recovered: ").otherwise("Behavioral trend warning: "), "agent_id")
-    reasons = F.array_join(F.transform(F.slice("attributions", 1, 3), lambda x: x["summary"]), " | ")
-    score = F.format_string("Behavior score %d/100.", "behavior_score")
-    message = (
-        F.when(kind == "recovery", F.format_string('Agent "%s" returned to its learned baseline (behavior score %d/100).', "agent_id", "behavior_score"))
-        .when(kind == "forecast", F.array_join(F.transform("forecasts", lambda f: f["summary"]), " | "))
-        .when(F.size("attributions") > 0, F.concat_ws(" ", score, reasons))
-        .otherwise(score)
-    )
-    number = F.row_number().over(Window.partitionBy("agent_id").orderBy("seq", "a.at"))
-    ident = F.concat_ws("-", "agent_id", kind, F.unix_millis("ts").cast("string"), number.cast("string"))
-    top = F.when(F.size("attributions") > 0, F.element_at(F.transform("attributions", lambda x: x["feature"]), 1)).otherwise(F.lit(""))
-    return rows.select(ident.alias("alert_id"), "agent_id", "seq", "ts", F.col("a.at").alias("at"), kind.alias("kind"), F.col("a.level").alias("severity"), title.alias("title"), message.alias("message"), "behavior_score", "attributions", top.alias("top_feature"))
-
-
-class Governor:
-    """Decides on the alerts of one agent, kind and top feature, in order."""
-
-    def __init__(self, policy: AlertPolicy):
-        self.policy, self.floor, self.last = policy, SEVERITIES.index(policy.min_severity), None
+from collections.abc import Callable
 
-    def reason(self, kind: str, level: int, now: float) -> str | None:
-        """Why an alert of a severity's rank at ``now`` (ms) doesn't go out, or None."""
-        if self.policy.canary:
-            return "canary"
-        if kind == "drift" and level < self.floor:
-            return "below-min-severity"
-        if self.last and now - self.last[0] < self.policy.cooldown_ms and level <= self.last[1]:
-            return "cooldown"
-        self.last = (now, level)
-        return None
-
-
-def governed(alerts: DataFrame, policy: AlertPolicy) -> DataFrame:
-    """Alerts with ``allowed`` and ``reason``. In a canary run none goes out (``canary``); a drift alert below the least
-    severity doesn't (``below-min-severity``); nor does one within the cooldown after the last of its agent, kind and
-    top feature, unless its severity is higher (``cooldown``). Time is event time. Suppressed alerts don't start a
-    cooldown."""
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alerts.schema)
-
-    def make(agent, kind, feature):
-        governor = Governor(policy)
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-        def step(row):
-            reason = governor.reason(kind, row["level"], row["ts"].timestamp() * 1000)
-            yield {**row, "allowed": reason is None, "reason": reason}
 
-        return step
+def governed(seen: DataFrame, enrich: Callable[[Column], Column] | None = None) -> DataFrame:
+    """The alerts of ``report.observed``, each with the governor's decision: (``alert_id``, ``agent_id``, ``seq``, ``ts``, ``at``,
+    ``kind``, ``severity``, ``title``, ``message``, ``behavior_score``, ``attributions``, ``top_feature``, ``metadata`` of the turn,
+    ``allowed``, ``reason``).
 
-    return fold_by_key(alerts.withColumn("level", rank(F.col("severity"))), ["agent_id", "kind", "top_feature"], ["seq", "at"], make, f"{fields}, allowed boolean, reason string")
+    In a canary run none goes out (``canary``); a drift alert below the least severity doesn't (``below-min-severity``); nor
+    does one within the cooldown after the last of its agent, kind and top feature, unless its severity is higher
+    (``cooldown``). Time is event time. Suppressed alerts don't start a cooldown. ``enrich``: from the message to the one
+    that is sent, as columns.
+    """
+    rows = seen.select("agent_id", "seq", "ts", "behavior_score", "attributions", "metadata", F.explode("alerts").alias("a"))
+    message = enrich(F.col("a.message")) if enrich else F.col("a.message")
+    return rows.select("a.alert_id", "agent_id", "seq", "ts", "a.at", "a.kind", "a.severity", "a.title", message.alias("message"), "behavior_score", "attributions", "a.top_feature", "metadata", "a.allowed", "a.reason")
 
 
 def deliveries(alerts: DataFrame, channels: list[str]) -> DataFrame:
@@ -79,22 +29,22 @@ def deliveries(alerts: DataFrame, channels: list[str]) -> DataFrame:
     return alerts.filter("allowed").withColumn("channel", F.explode(names))
 
 
-def telemetry(reported: DataFrame, decided: DataFrame) -> DataFrame:
-    """The log of a run: (``agent_id``, ``seq``, ``event_ord``, ``ts``, ``kind``, ``feature``, ``severity``, ``message``)."""
-    event = lambda at, kind, feature=None, severity=None, message=None: F.struct(F.lit(at).alias("event_ord"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if feature is None else feature).alias("feature"), (F.lit(None).cast("string") if severity is None else severity).alias("severity"), (F.lit(None).cast("string") if message is None else message).alias("message"))
-    w = Window.partitionBy("agent_id").orderBy("seq")
-    known = F.coalesce(F.lag(F.transform("forecasts", lambda f: f["feature"])).over(w), F.array().cast("array<string>"))
-    rows = reported.withColumn("status_before", F.lag("status").over(w)).withColumn("before", F.lag("severity").over(w)).withColumn("known", known)
-    one = lambda when, e: F.when(when, F.array(e)).otherwise(F.array().cast("array<struct<event_ord:int,kind:string,feature:string,severity:string,message:string>>"))
-    parts = [
-        one(F.col("seq") == 1, event(0, "agent.registered")),
-        one(F.lit(True), event(1, "observation.recorded")),
-        one(F.col("status") == "learning", event(2, "baseline.learning")),
-        one((F.col("status") == "ready") & (F.coalesce("status_before", F.lit("learning")) == "learning"), event(2, "baseline.ready")),
-        F.flatten(F.transform("findings", lambda f, i: F.filter(F.array(F.struct((i * 2 + 3).alias("event_ord"), F.lit("drift.detected").alias("kind"), f["feature"].alias("feature"), f["severity"].alias("severity"), F.lit(None).cast("string").alias("message")), F.when(f["severity"] == "critical", F.struct((i * 2 + 4).alias("event_ord"), F.lit("baseline.frozen").alias("kind"), f["feature"].alias("feature"), F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("message")))), lambda e: e.isNotNull()))),
-        one((F.col("severity") == "none") & (F.col("before") != "none"), event(100, "drift.recovered")),
-        F.transform(F.filter("forecasts", lambda f: ~F.array_contains("known", f["feature"])), lambda f, i: F.struct((i + 200).alias("event_ord"), F.lit("forecast.detected").alias("kind"), f["feature"].alias("feature"), F.lit(None).cast("string").alias("severity"), F.lit(None).cast("string").alias("message"))),
-    ]
-    log = rows.select("agent_id", "seq", "ts", F.explode(F.concat(*parts)).alias("e")).select("agent_id", "seq", "e.event_ord", "ts", "e.kind", "e.feature", "e.severity", "e.message")
-    held = decided.filter("not allowed").select("agent_id", "seq", (F.col("at") * 100 + 101).alias("event_ord"), "ts", F.lit("alert.suppressed").alias("kind"), F.lit(None).cast("string").alias("feature"), "severity", F.col("reason").alias("message"))
-    return log.unionByName(held)
+#: The place of a delivery, and of saving the state, in the log of a turn.
+DELIVERED, PERSISTED = 1000, 10_000
+
+
+def telemetry(seen: DataFrame, sent: DataFrame | None = None, persisted: DataFrame | None = None) -> DataFrame:
+    """The log of a run: (``agent_id``, ``seq``, ``event_ord``, ``ts``, ``kind``, ``feature``, ``severity``, ``message``).
+
+    ``sent``: what became of deliveries, with the alert's columns and (``channel``, ``ok``, ``error``), as ``dispatched`` and
+    ``failed`` events. ``persisted``: (``agent_id``, ``seq``, ``ts``) of turns after which the state was saved.
+    """
+    log = seen.select("agent_id", "seq", "ts", F.explode("events").alias("e")).select("agent_id", "seq", "e.event_ord", "ts", "e.kind", "e.feature", "e.severity", "e.message")
+    none = F.lit(None).cast("string")
+    if sent is not None:
+        kind = F.when(F.col("ok"), "alert.dispatched").otherwise("alert.failed")
+        said = F.when(F.col("ok"), F.col("channel")).otherwise(F.concat_ws(": ", "channel", "error"))
+        log = log.unionByName(sent.select("agent_id", "seq", (F.col("at") + DELIVERED).alias("event_ord"), "ts", kind.alias("kind"), none.alias("feature"), "severity", said.alias("message")))
+    if persisted is not None:
+        log = log.unionByName(persisted.select("agent_id", "seq", F.lit(PERSISTED).alias("event_ord"), "ts", F.lit("state.persisted").alias("kind"), none.alias("feature"), none.alias("severity"), none.alias("message")))
+    return log

@@ -11,32 +11,34 @@ from .keyed import fold_by_key
 
 EVALUATION = (
     "agent_id string, seq long, ts timestamp, feature string, feature_ord int, learning boolean, z double, deviation double, finding string, direction string, score double, observed double, "
-    "expected double, shift string, moved string, frozen boolean, severity string, summary string, forecast struct<slope:double,hourly:double,steps:long,hours:double,summary:string>"
+    "expected double, shift string, moved string, frozen boolean, severity string, summary string"
 )
 
 
 def millis(ts) -> int:
-    return int(ts.timestamp() * 1000) if ts is not None else 0
+    return int(ts.timestamp() * 1000)
 
 
-def evaluate(features: DataFrame, cfg: Config) -> DataFrame:
+def evaluate(features: DataFrame, cfg: Config, only: list[str] | None = None) -> DataFrame:
     """Every observation of every feature, judged against what its agent did before: rows as ``EVALUATION``.
 
-    ``features``: as ``features.long`` gives them. The warm-up is the agent's first ``cfg.warmup`` turns, known from
-    ``seq`` alone, which is what lets features of one agent be separate keys.
+    ``features``: as ``features.long`` gives them; of ``only`` some if named, chosen before they are dealt. The warm-up is
+    the agent's first ``cfg.warmup`` turns, known from ``seq`` alone, which is what lets features of one agent be separate
+    keys. Forecasts and scores need all features of a turn: ``report.observed`` has them.
     """
 
     def make(agent, feature):
-        state = track(feature, cfg)
+        state = track(feature, cfg, quantiles=False)
 
         def step(row):
             learning = row["seq"] <= cfg.warmup
             found = state.step(row["samples"] if row["value"] is None else row["value"], millis(row["ts"]), learning)
-            yield {**row, "learning": learning, **found, "frozen": state.frozen, "severity": state.severity, "forecast": state.forecast()}
+            yield {**row, "learning": learning, **found, "frozen": state.frozen, "severity": state.severity}
 
         return step
 
-    return fold_by_key(features, ["agent_id", "feature"], ["seq"], make, EVALUATION)
+    rows = features.filter(F.col("feature").isin(only)) if only else features
+    return fold_by_key(rows, ["agent_id", "feature"], ["seq"], make, EVALUATION)
 
 
 def findings(evaluated: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ TURN = (
 
 
 def valid(turns: DataFrame) -> DataFrame:
-    """Turns with a non-empty agent."""
-    return turns.filter(F.coalesce(F.col("agent_id"), F.lit("")) != "")
+    """Turns with a non-empty agent. One without a time has that of its arrival: the run's, or the micro-batch's."""
+    return turns.filter(F.coalesce(F.col("agent_id"), F.lit("")) != "").withColumn("ts", F.coalesce("ts", F.current_timestamp()))
 
 
 def quarantined(turns: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def finite(x: Column) -> Column:
 
 
 def wide(turns: DataFrame) -> DataFrame:
-    """One row per turn with the numeric features, null where a turn has none, and samples of the categorical ones."""
+    """One row per turn with the numeric features, null where a turn has none, and samples of the categorical ones;
+    and what goes along with a turn: its metadata, and its place among those of one time."""
     n = {c: finite(F.col(c)) for c in ("latency_ms", "cost_usd", "input_tokens", "output_tokens", "context_tokens", "retrieval_chunks", "turn_index")}
     total = F.when(n["input_tokens"].isNotNull() | n["output_tokens"].isNotNull(), F.coalesce(n["input_tokens"], F.lit(0.0)) + F.coalesce(n["output_tokens"], F.lit(0.0)))
     snr = F.when(n["context_tokens"] > 0, n["output_tokens"] / n["context_tokens"])
@@ -59,6 +60,8 @@ def wide(turns: DataFrame) -> DataFrame:
         error.alias("errorRate"),
         F.transform("tool_calls", lambda c: c["name"]).alias("toolSelection"),
         F.when(F.col("finish_reason").isNotNull(), F.array("finish_reason")).alias("finishReason"),
+        "metadata",
+        "tie",
     )
 
 
@@ -77,8 +80,10 @@ def tool_samples(turns: DataFrame) -> DataFrame:
 
 
 def admitted(turns: DataFrame, max_agents: int) -> DataFrame:
-    """Turns with ``admitted``: whether their agent is among the first ``max_agents`` to appear. One row per agent is
-    ordered; batch only, as a stream has no first appearance across partitions."""
+    """Turns with ``admitted``: whether their agent is among the first ``max_agents`` to appear. Each task keeps the first
+    agents it has, and no more than ``max_agents`` of a task meet; batch only, as a stream has no first appearance across
+    partitions."""
     first = turns.groupBy("agent_id").agg(F.min(F.struct("ts", "tie")).alias("first"))
-    rank = first.select("agent_id", (F.row_number().over(Window.orderBy("first", "agent_id")) <= max_agents).alias("admitted"))
-    return turns.join(rank, "agent_id")
+    rank = first.orderBy("first", "agent_id").limit(max_agents).select(F.col("agent_id").alias("__agent"))
+    both = turns.join(rank, turns["agent_id"] == F.col("__agent"), "left")
+    return both.withColumn("admitted", F.col("__agent").isNotNull()).drop("__agent")

@@ -19,16 +19,23 @@ def fold_by_key(rows: DataFrame, keys: list[str], order: list[str], make: Callab
     one key is one task's work; keys should be as fine as the state allows.
     """
     target = to_arrow_schema(StructType.fromDDL(schema))
+    names = rows.columns
+    places = [names.index(k) for k in keys]
 
     def run(batches):
         current, machine = object(), None
         for batch in batches:
             out: list[dict] = []
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = tuple(row[i] for i in places)
                 if key != current:
                     current, machine = key, make(*key)
-                out.extend(machine(row))
-            yield pa.RecordBatch.from_pylist(out, target)
+                out.extend(machine(dict(zip(names, row, strict=True))))
+            yield columns_of(out, target)
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def columns_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as a batch; a field that a row lacks is null."""
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)

@@ -1,80 +1,82 @@
-"""From evaluations to reports: score, severity, attributions, forecasts."""
+"""From turns to reports: score, severity, findings, attributions, forecasts, alerts and the log, in one fold by agent."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions.tracks import half_up
-from ..plans.config import LEAST_DEVIATION, MOST_ATTRIBUTIONS, SCORE_ALPHA, SEVERITIES
-from .keyed import fold_by_key
+from ..functions.agents import Agent, Desk
+from ..plans.config import CATEGORICAL, NUMERIC, Config
 
 TURN = ["agent_id", "seq"]
+FINDING = "struct<feature:string,severity:string,direction:string,score:double,observed:double,expected:double,summary:string>"
+SHARE = "struct<feature:string,contribution:double,score:double,direction:string,observed:double,expected:double,summary:string>"
+FORECAST = "struct<feature:string,slope:double,hourly:double,steps:long,hours:double,summary:string>"
+ALERT = "struct<alert_id:string,at:int,kind:string,severity:string,title:string,message:string,top_feature:string,allowed:boolean,reason:string>"
+EVENT = "struct<event_ord:int,kind:string,feature:string,severity:string,message:string>"
+REPORT = (
+    f"agent_id string, seq long, ts timestamp, status string, severity string, instant double, behavior_score int, findings array<{FINDING}>, attributions array<{SHARE}>, "
+    f"forecasts array<{FORECAST}>, alerts array<{ALERT}>, events array<{EVENT}>, metadata map<string,string>"
+)
+
+
+def observed(features: DataFrame, cfg: Config, forecasts: bool = True) -> DataFrame:
+    """One row per turn, as ``REPORT``: its report, the alerts that it gives rise to with the governor's decision on each,
+    and its part of the log. ``features``: rows of ``features.wide``.
+
+    The one fold behind everything that spans the features of an agent. Rows are dealt by agent, sorted on disk if need
+    be, and streamed through one machine, so memory doesn't depend on the length of a history. ``forecasts``: whether
+    to look ahead, which fits a line a feature and turn.
+    """
+    target = to_arrow_schema(StructType.fromDDL(REPORT))
+    given = ("agent_id", "seq", "ts", "metadata")
+    names = [f.name for f in target]
+
+    def run(batches):
+        current, agent, desk = None, None, None
+        for batch in batches:
+            line = {c: batch.column(i).to_pylist() for i, c in enumerate(batch.schema.names) if c not in given}
+            numbers, mixes = [(f, line[f]) for f in NUMERIC], [(f, line[f]) for f in CATEGORICAL]
+            said: list[dict] = []
+            times = batch.column(2).cast(pa.int64())
+            for k, (name, at) in enumerate(zip(batch.column(0).to_pylist(), times.to_pylist(), strict=True)):
+                if name != current:
+                    current, agent, desk = name, Agent(cfg, quantiles=False, forecasts=forecasts), Desk(name, cfg.alerts)
+                out = agent.observe({f: x[k] for f, x in numbers if x[k] is not None}, {f: x[k] for f, x in mixes if x[k]}, at // 1000)
+                out["alerts"], out["events"] = desk.take(out, at // 1000)
+                said.append(out)
+            made = {n: pa.array([r[n] for r in said], target.field(n).type) for n in names if n not in given}
+            yield pa.RecordBatch.from_arrays([batch.column(given.index(n)).cast(target.field(n).type) if n in given else made[n] for n in names], schema=target)
+
+    rows = features.select(*given, *NUMERIC, *CATEGORICAL)
+    return rows.repartition("agent_id").sortWithinPartitions("agent_id", "seq").mapInArrow(run, REPORT)
+
+
+def reports(seen: DataFrame) -> DataFrame:
+    """The reports: (``agent_id``, ``seq``, ``ts``, ``status``, ``severity``, ``behavior_score``, ``findings``,
+    ``attributions``, ``forecasts``), arrays in the order of reporting."""
+    return seen.select(*TURN, "ts", "status", "severity", "behavior_score", "findings", "attributions", "forecasts")
 
 
-def rank(severity: Column) -> Column:
-    """0 for none or null, up to 3 for critical."""
-    return F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), severity) - 1, F.lit(0)).cast("int")
-
-
-def named(ranked: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, SEVERITIES)), ranked + 1)
-
-
-def scores(evaluated: DataFrame) -> DataFrame:
-    """(``agent_id``, ``seq``, ``instant``, ``behavior_score`` 0 to 100): the root mean square of all deviations of a
+def scores(seen: DataFrame) -> DataFrame:
+    """(``agent_id``, ``seq``, ``ts``, ``instant``, ``behavior_score`` 0 to 100): the root mean square of all deviations of a
     turn, zeros too, smoothed over turns and turned into a score."""
-    turns = evaluated.groupBy("agent_id", "seq").agg(F.max("ts").alias("ts"), F.sqrt(F.avg(F.col("deviation") * F.col("deviation"))).alias("instant"))
-
-    def make(agent):
-        index = 0.0
-
-        def step(row):
-            nonlocal index
-            index += SCORE_ALPHA * ((row["instant"] or 0.0) - index)
-            yield {**row, "behavior_score": int(half_up(100 * math.exp(-index)))}
+    return seen.select(*TURN, "ts", "instant", "behavior_score")
 
-        return step
 
-    return fold_by_key(turns, ["agent_id"], ["seq"], make, "agent_id string, seq long, ts timestamp, instant double, behavior_score int")
-
-
-def attributions(evaluated: DataFrame) -> DataFrame:
+def attributions(seen: DataFrame) -> DataFrame:
     """What a turn's deviation comes from: the features that deviate or have findings, at most five, with their share of
     the squared deviation: (``agent_id``, ``seq``, ``rank``, ``feature``, ``contribution``, ``score``, ``direction``,
     ``observed``, ``expected``, ``summary``)."""
-    rows = evaluated.filter((F.col("deviation") >= LEAST_DEVIATION) | F.col("finding").isNotNull())
-    w = Window.partitionBy(*TURN)
-    rows = rows.withColumn("rank", F.row_number().over(w.orderBy(F.desc("deviation"), "feature_ord"))).filter(F.col("rank") <= MOST_ATTRIBUTIONS)
-    square = F.col("deviation") * F.col("deviation")
-    rows = rows.withColumn("total", F.sum(square).over(w)).filter("total > 0")
-    plain = F.format_string("%s deviates at %d%% of its critical threshold", "feature", F.floor(F.col("deviation") * 100 + 0.5))
-    has = F.col("finding").isNotNull()
-    return rows.select(
-        *TURN, "rank", "feature",
-        (F.floor(square / F.col("total") * 10000 + 0.5) / 10000).alias("contribution"),
-        F.when(has, F.col("score")).otherwise(F.col("deviation")).alias("score"),
-        F.when(has, F.col("direction")).otherwise(F.lit("above")).alias("direction"),
-        F.when(has, F.col("observed")).alias("observed"),
-        F.when(has, F.col("expected")).alias("expected"),
-        F.when(has, F.col("summary")).otherwise(plain).alias("summary"),
-    )
-
-
-def forecasts(evaluated: DataFrame, warmup: int) -> DataFrame:
-    """Forecasts of each turn, of features that it lacks too: (``agent_id``, ``seq``, ``feature``, ``feature_ord``, ...).
-
-    A feature's forecast holds until its next observation, so evaluations are laid out over all turns of the agent, at
-    most fourteen rows per turn, and filled forward.
-    """
-    numeric = evaluated.filter("feature_ord < 12").select("agent_id", "seq", "feature", "feature_ord", F.struct("forecast").alias("said"))
-    turns = evaluated.select("agent_id", "seq", "ts").distinct()
-    grid = turns.join(numeric.select("agent_id", "feature", "feature_ord").distinct(), "agent_id")
-    filled = grid.join(numeric.select("agent_id", "seq", "feature", "said"), ["agent_id", "seq", "feature"], "left")
-    last = F.last("said", ignorenulls=True).over(Window.partitionBy("agent_id", "feature").orderBy("seq"))
-    return filled.withColumn("said", last).filter((F.col("seq") > warmup) & F.col("said.forecast").isNotNull()).select("agent_id", "seq", "ts", "feature", "feature_ord", "said.forecast.*")
+    return seen.select(*TURN, F.posexplode("attributions").alias("at", "a")).select(*TURN, (F.col("at") + 1).alias("rank"), "a.*")
+
+
+def forecasts(seen: DataFrame) -> DataFrame:
+    """The forecasts in force at each turn, of features that it lacks too: (``agent_id``, ``seq``, ``ts``, ``feature``, ...)."""
+    return seen.select(*TURN, "ts", F.explode("forecasts").alias("f")).select(*TURN, "ts", "f.*")
 
 
 def fresh_forecasts(found: DataFrame) -> DataFrame:
@@ -83,19 +85,6 @@ def fresh_forecasts(found: DataFrame) -> DataFrame:
     return found.withColumn("before", before).filter("before is null or before < seq - 1").drop("before")
 
 
-def reports(evaluated: DataFrame, warmup: int) -> DataFrame:
-    """One row per turn: (``agent_id``, ``seq``, ``ts``, ``status``, ``severity``, ``behavior_score``, ``findings``,
-    ``attributions``, ``forecasts``), arrays in the order of reporting."""
-    listed = F.sort_array(F.collect_list(F.when(F.col("finding").isNotNull(), F.struct("feature_ord", "feature", F.col("finding").alias("severity"), "direction", "score", "observed", "expected", "summary"))))
-    turns = evaluated.groupBy(*TURN).agg(F.max(rank(F.col("finding"))).alias("top"), listed.alias("findings"))
-    why = attributions(evaluated).groupBy(*TURN).agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "contribution", "score", "direction", "observed", "expected", "summary"))).alias("attributions"))
-    ahead = forecasts(evaluated, warmup).groupBy(*TURN).agg(F.sort_array(F.collect_list(F.struct("feature_ord", "feature", "slope", "hourly", "steps", "hours", "summary"))).alias("forecasts"))
-    rows = scores(evaluated).join(turns, TURN).join(why, TURN, "left").join(ahead, TURN, "left")
-    status = F.when(F.col("seq") <= warmup, "learning").otherwise("ready")
-    none = lambda c, like: F.coalesce(F.col(c), F.array().cast(like.schema[c].dataType))
-    return rows.select(*TURN, "ts", status.alias("status"), named(F.col("top")).alias("severity"), "behavior_score", "findings", none("attributions", why).alias("attributions"), none("forecasts", ahead).alias("forecasts"))
-
-
 def latest(reported: DataFrame) -> DataFrame:
     """Each agent's last report."""
     best = F.max_by(F.struct(*[c for c in reported.columns if c != "agent_id"]), "seq").alias("r")

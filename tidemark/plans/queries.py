@@ -10,12 +10,14 @@ from ..operators import alerts as A
 from ..operators import detect as D
 from ..operators import features as X
 from ..operators import report as R
+from ..plans import engine_sql as E
 from ..plans.config import AlertPolicy, Config
 from ..sinks import payloads as P
 from ..sources import turns as S
 
 TYPE = Config(warmup=50, window=50)
 USER = Config(warmup=20, window=10)
+RAMP = Config(warmup=50, window=30, alerts=AlertPolicy(cooldown_ms=6 * 3_600_000))
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,12 +52,20 @@ def by_priority(spark: SparkSession, sf: str) -> DataFrame:
     return X.sequenced(S.orders_as_turns(S.table(spark, sf, "orders"), S.table(spark, sf, "lineitem")))
 
 
-def judged(turns: DataFrame, cfg: Config) -> DataFrame:
-    return D.evaluate(X.long(X.wide(turns)), cfg)
+def by_ramp(spark: SparkSession, sf: str) -> DataFrame:
+    return X.sequenced(S.events_on_a_ramp(S.table(spark, sf, "events")))
 
 
-def reported(spark, sf) -> DataFrame:
-    return R.reports(judged(by_user(spark, sf), USER), USER.warmup)
+def judged(turns: DataFrame, cfg: Config, *only: str) -> DataFrame:
+    return D.evaluate(X.long(X.wide(turns)), cfg, list(only) or None)
+
+
+def seen(turns: DataFrame, cfg: Config, forecasts: bool = True) -> DataFrame:
+    return R.observed(X.wide(turns), cfg, forecasts)
+
+
+def ramp(spark, sf) -> DataFrame:
+    return seen(by_ramp(spark, sf), RAMP)
 
 
 TYPED = "SELECT *, event_type AS agent_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events"
@@ -71,6 +81,16 @@ def feature_wide(spark, sf):
     return w.groupBy("agent_id").agg(F.count("*").alias("turns"), F.round(F.sum("costUsd"), 2).alias("cost"), F.round(F.sum("inputTokens"), 2).alias("input_tokens"), F.round(F.sum("totalTokens"), 2).alias("total_tokens"), F.round(F.sum("contextTokens"), 4).alias("context_tokens"), F.sum("errorRate").alias("errors"), F.count("contextSnr").alias("with_snr"))
 
 
+@query(
+    "SELECT CAST(l_suppkey AS VARCHAR) AS agent_id, count(*) FILTER (l_discount > 0) AS n, round(avg(l_quantity / (l_discount * 100)) FILTER (l_discount > 0), 6) AS mean, round(max(l_quantity / (l_discount * 100)) FILTER (l_discount > 0), 6) AS high FROM lineitem GROUP BY 1"
+)
+def context_snr(spark, sf):
+    rows = S.table(spark, sf, "lineitem")
+    t = S.as_turns(rows, agent_id=F.col("l_suppkey").cast("string"), output_tokens=F.col("l_quantity"), context_tokens=F.col("l_discount") * 100)
+    w = X.wide(t.withColumn("seq", F.lit(0).cast("long")))
+    return w.groupBy("agent_id").agg(F.count("contextSnr").alias("n"), r6(F.avg("contextSnr")).alias("mean"), r6(F.max("contextSnr")).alias("high"))
+
+
 @query(
     f"WITH t AS ({TYPED}) SELECT agent_id, seq, 'latencyMs' AS feature, 0 AS feature_ord, value FROM t UNION ALL SELECT agent_id, seq, 'retrievalChunks', 7, k FROM t WHERE k IS NOT NULL "
     "UNION ALL SELECT agent_id, seq, 'errorRate', 11, 0.0::DOUBLE FROM t"
@@ -112,7 +132,7 @@ def otel_turns(spark, sf):
     "SELECT CASE WHEN key_id IS NOT NULL AND s <> 3 THEN 'keymesh:' || key_id ELSE 'keymesh:pool' END AS agent_id, event_id AS tie, CASE WHEN s < 2 THEN value END AS latency_ms, "
     "CASE WHEN s > 0 THEN true END AS error_flag, CASE s WHEN 2 THEN 'circuit.open' WHEN 3 THEN 'all.exhausted' END AS finish_reason, CASE WHEN s < 2 AND key_id IS NOT NULL THEN 'key:' || key_id END AS tool FROM e"
 )
-def keymesh_turns(spark, sf):
+def key_event_turns(spark, sf):
     t = S.turns_from_key_events(S.key_events(S.table(spark, sf, "events")))
     return t.select("agent_id", "tie", "latency_ms", "error_flag", "finish_reason", F.try_element_at(F.transform("tool_calls", lambda c: c["name"]), F.lit(1)).alias("tool"))
 
@@ -122,7 +142,7 @@ def keymesh_turns(spark, sf):
     "SELECT CASE WHEN model IS NOT NULL THEN 'modelchain:' || model ELSE 'modelchain:router' END AS agent_id, event_id AS tie, CASE WHEN s <> 1 THEN value END AS latency_ms, CASE WHEN s <> 1 THEN value / 1000 END AS cost_usd, "
     "CASE WHEN s <> 1 THEN user_id * 10.0::DOUBLE END AS input_tokens, CASE WHEN s = 1 THEN true END AS error_flag, CASE WHEN s <> 1 THEN 'stop' END AS finish_reason FROM e"
 )
-def modelchain_turns(spark, sf):
+def model_event_turns(spark, sf):
     return S.turns_from_model_events(S.model_events(S.table(spark, sf, "events"))).select("agent_id", "tie", "latency_ms", "cost_usd", "input_tokens", "error_flag", "finish_reason")
 
 
@@ -148,12 +168,12 @@ def welford_running(spark, sf):
     "WITH v AS (SELECT CAST(user_id AS VARCHAR) AS agent_id, list(value ORDER BY ts, event_id) AS xs FROM events GROUP BY user_id), f AS (SELECT agent_id, "
     "list_reduce(xs, lambda a, x: {'n': a.n + 1, 'mean': CASE WHEN a.n = 0 THEN x.mean ELSE a.mean + (x.mean - a.mean) * 0.05::DOUBLE END, "
     "'variance': CASE WHEN a.n = 0 THEN 0.0::DOUBLE ELSE (a.variance + (x.mean - a.mean) * ((x.mean - a.mean) * 0.05::DOUBLE)) * 0.95::DOUBLE END}, {'n': 0, 'mean': 0.0::DOUBLE, 'variance': 0.0::DOUBLE}) AS e "
-    "FROM (SELECT agent_id, list_transform(xs, lambda x: {'n': 0, 'mean': x, 'variance': 0.0::DOUBLE}) AS xs FROM v)) SELECT agent_id, e.n AS n, round(e.mean, 6) AS mean, round(sqrt(e.variance), 6) AS std_dev FROM f"
+    "FROM (SELECT agent_id, list_transform(xs, lambda x: {'n': 0, 'mean': x, 'variance': 0.0::DOUBLE}) AS xs FROM v)) SELECT agent_id, CAST(e.n AS BIGINT) AS n, round(e.mean, 6) AS mean, round(sqrt(e.variance), 6) AS std_dev FROM f"
 )
 def ewma_final(spark, sf):
-    values = F.transform(F.sort_array(F.collect_list(F.struct("ts", "tie", "latency_ms"))), lambda x: x["latency_ms"])
-    rows = S.events_by_user(S.table(spark, sf, "events")).groupBy("agent_id").agg(values.alias("xs")).withColumn("e", native.ewma(F.col("xs"), 0.05))
-    return rows.select("agent_id", F.col("e.n").alias("n"), r6("e.mean").alias("mean"), r6(F.sqrt("e.variance")).alias("std_dev"))
+    rows = native.ewma_running(by_user(spark, sf), ["agent_id"], ["seq"], "latency_ms", 0.05)
+    last = rows.groupBy("agent_id").agg(F.count("*").alias("n"), F.max_by(F.struct("mean", "std_dev"), "seq").alias("e"))
+    return last.select("agent_id", "n", r6("e.mean").alias("mean"), r6("e.std_dev").alias("std_dev"))
 
 
 @query(
@@ -243,26 +263,13 @@ def binomial_tail(spark, sf):
     return error_counts(spark, sf).select("agent_id", "k", "n", r6(native.binomial_tail(F.col("k"), F.col("n"), F.lit(0.1))).alias("tail"))
 
 
-def acklam_sql(p: str) -> str:
-    def horner(cs, x):
-        out = f"{cs[0]!r}::DOUBLE"
-        for c in cs[1:]:
-            out = f"({out} * {x} + ({c!r})::DOUBLE)"
-        return out
-
-    q, t = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
-    mid = f"{horner(native.ACKLAM_A, f'({q} * {q})')} * {q} / {horner((*native.ACKLAM_B, 1.0), f'({q} * {q})')}"
-    tail = f"{horner(native.ACKLAM_C, t)} / {horner((*native.ACKLAM_D, 1.0), t)}"
-    return f"CASE WHEN {p} >= 0.02425 AND {p} <= 0.97575 THEN {mid} WHEN {p} < 0.5 THEN {tail} ELSE -({tail}) END"
-
-
-@query("WITH p AS (SELECT event_id, (event_id % 9999 + 1) / 10001.0::DOUBLE AS p FROM events) SELECT event_id, round(" + acklam_sql("p") + ", 6) AS z FROM p")
+@query("WITH p AS (SELECT event_id, (event_id % 9999 + 1) / 10001.0::DOUBLE AS p FROM events) SELECT event_id, round(" + E.inverse_normal("p") + ", 6) AS z FROM p")
 def inv_norm(spark, sf):
     p = (F.col("event_id") % 9999 + 1) / F.lit(10001.0)
     return S.table(spark, sf, "events").select("event_id", r6(native.inverse_normal(p)).alias("z"))
 
 
-@query(COUNTS + f", t AS (SELECT *, CASE WHEN k <= 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, {TAILSQL}) END AS tail FROM c) SELECT agent_id, round(CASE WHEN k <= n * 0.1::DOUBLE OR tail >= 0.5 THEN 0 ELSE greatest(0, -({acklam_sql('tail')})) END, 6) AS z FROM t")
+@query(COUNTS + f", t AS (SELECT *, CASE WHEN k <= 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, {TAILSQL}) END AS tail FROM c) SELECT agent_id, round(CASE WHEN k <= n * 0.1::DOUBLE OR tail >= 0.5 THEN 0 ELSE greatest(0, -({E.inverse_normal('tail')})) END, 6) AS z FROM t")
 def rate_z(spark, sf):
     return error_counts(spark, sf).select("agent_id", r6(native.rate_z(F.col("k").cast("double"), F.col("n"), F.lit(0.1))).alias("z"))
 
@@ -280,12 +287,18 @@ def trend_fit(spark, sf):
     return out.select("agent_id", "seq", r6("slope").alias("slope"), F.round("next_value", 4).alias("next_value"), F.round("slope_hour", 4).alias("slope_hour"))
 
 
-@query(TREND + ", v AS (SELECT agent_id, seq, value FROM t) SELECT w.agent_id, w.seq, CASE WHEN abs(slope) > 1e-6 AND (500 - value) / slope > 0 AND (500 - value) / slope < 10000 THEN round((500 - value) / slope + 1e-7, 3) END AS steps FROM w JOIN v ON w.agent_id = v.agent_id AND w.seq = v.seq WHERE n >= 3")
+@query(
+    TREND + ", v AS (SELECT agent_id, seq, value FROM t), x AS (SELECT w.agent_id, w.seq, CASE WHEN slope <> 0 AND (500 - value) / slope > 0 THEN (500 - value) / slope END AS steps FROM w JOIN v ON w.agent_id = v.agent_id AND w.seq = v.seq WHERE n >= 3) "
+    "SELECT agent_id, seq, CAST(floor(log10(steps)) AS INTEGER) AS power, CAST(floor(steps / pow(10.0::DOUBLE, floor(log10(steps))) * 1e6 + 0.5) AS BIGINT) AS digits FROM x"
+)
 def steps_to_threshold(spark, sf):
+    """Steps to 500, none if the trend leads away from it, as seven digits and a power of ten: slopes may be near zero."""
     rows = by_user(spark, sf).withColumn("ms", F.unix_millis("ts"))
     out = native.line(rows.select("agent_id", "seq", "latency_ms", "ms"), ["agent_id"], ["seq"], "latency_ms", "ms", 10)
     steps = F.try_divide(F.lit(500.0) - F.col("latency_ms"), F.col("slope"))
-    return out.select("agent_id", "seq", F.when((F.abs("slope") > 1e-6) & (steps > 0) & (steps < 10000), F.round(steps + 1e-7, 3)).alias("steps"))
+    out = out.select("agent_id", "seq", F.when(steps > 0, steps).alias("steps"))
+    power = F.floor(F.log10("steps"))
+    return out.select("agent_id", "seq", power.cast("int").alias("power"), F.floor(F.col("steps") / F.pow(F.lit(10.0), power) * 1e6 + 0.5).cast("long").alias("digits"))
 
 
 @query(f"WITH t AS ({USERS}) SELECT agent_id, seq, CASE WHEN seq <= 20 THEN 'learning' ELSE 'ready' END AS status FROM t")
@@ -322,138 +335,102 @@ def z_ungated(spark, sf):
     return ungated(spark, sf).select("agent_id", "seq", r6("mean").alias("mean"), r6("z").alias("z"))
 
 
-@query(UNGATED + ", o AS (SELECT *, abs(z) >= 3 AS bad FROM r WHERE seq > 50) SELECT agent_id, seq, round(z, 6) AS z FROM (SELECT *, lag(bad) OVER (PARTITION BY agent_id ORDER BY seq) AS before FROM o) WHERE bad AND before")
+@query(UNGATED + ", o AS (SELECT *, abs(z) >= 2.5 AS bad FROM r WHERE seq > 50) SELECT agent_id, seq, round(z, 6) AS z FROM (SELECT *, lag(bad) OVER (PARTITION BY agent_id ORDER BY seq) AS before FROM o) WHERE bad AND before")
 def confirm_streak(spark, sf):
-    out = ungated(spark, sf).filter(F.col("seq") > TYPE.warmup).withColumn("bad", F.abs("z") >= 3)
+    out = ungated(spark, sf).filter(F.col("seq") > TYPE.warmup).withColumn("bad", F.abs("z") >= 2.5)
     before = F.lag("bad").over(Window.partitionBy("agent_id").orderBy("seq"))
     return out.withColumn("before", before).filter("bad and before").select("agent_id", "seq", r6("z").alias("z"))
 
 
-GATED = """
-WITH RECURSIVE t AS (SELECT event_type AS agent_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq, value AS x FROM events),
-r AS (
-  SELECT agent_id, seq, 1::BIGINT AS n, x AS wm, 0.0::DOUBLE AS m2, x AS em, 0.0::DOUBLE AS ev, 0::BIGINT AS pn, 0.0::DOUBLE AS pm, 0.0::DOUBLE AS up, 0.0::DOUBLE AS lo, 0.0::DOUBLE AS dn, 0.0::DOUBLE AS hi,
-    0 AS sev, 0 AS calm, 0 AS streak, NULL::DOUBLE AS z, NULL::VARCHAR AS fired, 0 AS found, 0 AS finding FROM t WHERE seq = 1
-  UNION ALL
-  SELECT agent_id, seq, CASE WHEN takes THEN n + 1 ELSE n END, CASE WHEN takes THEN nwm ELSE wm END, CASE WHEN takes THEN m2 + (x - wm) * (x - nwm) ELSE m2 END,
-    CASE WHEN takes THEN em + (x - em) * 0.05::DOUBLE ELSE em END, CASE WHEN takes THEN 0.95::DOUBLE * (ev + (x - em) * ((x - em) * 0.05::DOUBLE)) ELSE ev END,
-    npn, npm, CASE WHEN wipe THEN 0 ELSE nup END, CASE WHEN wipe THEN 0 ELSE nlo END, CASE WHEN wipe THEN 0 ELSE ndn END, CASE WHEN wipe THEN 0 ELSE nhi END, nsev, ncalm, nstreak, nz, nfired, nfound,
-    CASE WHEN nfound > 0 AND nstreak >= 2 THEN nfound WHEN nfired IS NOT NULL AND nfound = 0 THEN 2 ELSE 0 END
-  FROM (
-    SELECT *, CASE WHEN learning OR (nfound = 0 AND nsev = 0) THEN true ELSE false END AS takes, wm + (x - wm) / (n + 1) AS nwm, (nfired IS NOT NULL) OR (sev > 0 AND nsev = 0) AS wipe
-    FROM (
-      SELECT *, CASE WHEN learning THEN sev WHEN nfound > 0 THEN CASE WHEN nstreak >= 2 AND nfound > sev THEN nfound ELSE sev END WHEN sev > 0 AND c1 >= 5 THEN 0 ELSE sev END AS nsev,
-        CASE WHEN learning THEN calm WHEN nfound > 0 THEN 0 WHEN sev > 0 THEN CASE WHEN c1 >= 5 THEN 0 ELSE c1 END ELSE calm END AS ncalm
-      FROM (
-        SELECT *, CASE WHEN learning THEN streak WHEN nfound > 0 THEN streak + 1 ELSE 0 END AS nstreak, CASE WHEN abs(nz) < 0.7::DOUBLE * 3 THEN calm + 1 ELSE 0 END AS c1,
-          CASE WHEN learning THEN NULL WHEN nup - nlo > 75 THEN 'up' WHEN nhi - ndn > 75 THEN 'down' END AS nfired
-        FROM (
-          SELECT *, CASE WHEN learning THEN 0 WHEN abs(nz) >= 4.5 THEN 3 WHEN abs(nz) >= 3 THEN 2 ELSE 0 END AS nfound, least(lo, nup) AS nlo, greatest(hi, ndn) AS nhi
-          FROM (
-            SELECT *, CASE WHEN learning THEN up ELSE 0.999::DOUBLE * up + (zl - npm - 0.02::DOUBLE) END AS nup, CASE WHEN learning THEN dn ELSE 0.999::DOUBLE * dn + (zl - npm + 0.02::DOUBLE) END AS ndn
-            FROM (
-              SELECT *, CASE WHEN learning THEN pm ELSE pm + (zl - pm) / npn END AS npm
-              FROM (
-                SELECT r.*, t.seq AS tseq, t.x, t.seq <= 50 AS learning, CASE WHEN t.seq <= 50 THEN r.pn ELSE r.pn + 1 END AS npn,
-                  CASE WHEN t.seq > 50 THEN least(50, greatest(-50, (t.x - r.em) / greatest(sqrt(r.ev), 0.25::DOUBLE * CASE WHEN r.n > 1 THEN sqrt(r.m2 / r.n) ELSE 0 END, 1e-9))) END AS nz,
-                  least(50, greatest(-50, (t.x - r.wm) / greatest(CASE WHEN r.n > 1 THEN sqrt(r.m2 / r.n) ELSE 0 END, 1e-9))) AS zl
-                FROM (SELECT agent_id, n, wm, m2, em, ev, pn, pm, up, lo, dn, hi, sev, calm, streak, seq AS rseq FROM r) r JOIN t ON t.agent_id = r.agent_id AND t.seq = r.rseq + 1
-              ) s0
-            ) s1
-          ) s2
-        ) s3
-      ) s4
-    ) s5
-  ) s6 (agent_id, n, wm, m2, em, ev, pn, pm, up, lo, dn, hi, sev, calm, streak, rseq, seq, x, learning, npn, nz, zl, npm, nup, ndn, nfound, nlo, nhi, nstreak, c1, nfired, nsev, ncalm, takes, nwm, wipe)
-)
-"""
-
-
-def numeric(spark, sf):
-    return judged(by_type(spark, sf), TYPE).filter("feature = 'latencyMs'")
+TYPES = E.evaluated(TYPED, [("latencyMs", 0, "value"), ("retrievalChunks", 7, "k")], [("errorRate", 11, "0.0")], [], TYPE)
+MIXED = E.evaluated(USERS, [("latencyMs", 0, "value")], [("errorRate", 11, "CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END")], [("finishReason", 13, "event_type")], USER)
+RAMPED = E.evaluated(
+    "SELECT event_type AS agent_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq, ts, 500.0::DOUBLE + value + 0.4::DOUBLE * (event_id % 2000) AS x FROM events",
+    [("latencyMs", 0, "x")], [("errorRate", 11, "0.0")], [], RAMP,
+) + E.reported(RAMP)
+ALERTED = RAMPED + E.alerted(RAMP.alerts)
+SEVERITY = E.NAMED
 
 
-@query(GATED + "SELECT agent_id, seq, round(z, 6) AS z, CASE finding WHEN 2 THEN 'warning' WHEN 3 THEN 'critical' END AS finding, CASE sev WHEN 0 THEN 'none' WHEN 2 THEN 'warning' ELSE 'critical' END AS severity, sev > 0 AS frozen, fired AS shift FROM r")
+@query(TYPES + f" SELECT agent_id, seq, round(z, 6) AS z, CASE WHEN finding > 0 THEN {SEVERITY.format('finding')} END AS finding, {SEVERITY.format('sev')} AS severity, sev > 0 AS frozen, fired AS shift FROM ev WHERE feature = 'latencyMs'")
 def numeric_drift(spark, sf):
-    return numeric(spark, sf).select("agent_id", "seq", r6("z").alias("z"), "finding", "severity", "frozen", "shift")
+    return judged(by_type(spark, sf), TYPE, "latencyMs").select("agent_id", "seq", r6("z").alias("z"), "finding", "severity", "frozen", "shift")
 
 
-@query()
+@query(MIXED + f" SELECT agent_id, seq, round(z, 6) AS z, CASE WHEN finding > 0 THEN {SEVERITY.format('finding')} END AS finding, {SEVERITY.format('sev')} AS severity, round(observed, 6) AS observed, round(expected, 6) AS expected FROM ev WHERE feature = 'errorRate'")
 def rate_drift(spark, sf):
-    return judged(by_user(spark, sf), USER).filter("feature = 'errorRate'").select("agent_id", "seq", r6("z").alias("z"), "finding", "severity", r6("observed").alias("observed"), r6("expected").alias("expected"))
+    return judged(by_user(spark, sf), USER, "errorRate").select("agent_id", "seq", r6("z").alias("z"), "finding", "severity", r6("observed").alias("observed"), r6("expected").alias("expected"))
 
 
-@query()
+@query(MIXED + f" SELECT agent_id, seq, round(z, 6) AS z, CASE WHEN finding > 0 THEN {SEVERITY.format('finding')} END AS finding, {SEVERITY.format('sev')} AS severity, summary FROM ev WHERE feature = 'finishReason'")
 def categorical_drift(spark, sf):
-    return judged(by_user(spark, sf), USER).filter("feature = 'finishReason'").select("agent_id", "seq", r6("z").alias("z"), "finding", "severity", "summary")
+    return judged(by_user(spark, sf), USER, "finishReason").select("agent_id", "seq", r6("z").alias("z"), "finding", "severity", "summary")
 
 
-@query()
+@query(MIXED + " SELECT agent_id, seq, feature, round(deviation, 6) AS deviation FROM ev")
+def deviations(spark, sf):
+    return judged(by_user(spark, sf), USER).select("agent_id", "seq", "feature", r6("deviation").alias("deviation"))
+
+
+@query(MIXED + f" SELECT agent_id, seq, feature, {SEVERITY.format('moved')} AS severity FROM ev WHERE moved IS NOT NULL")
 def transitions(spark, sf):
     return D.transitions(judged(by_user(spark, sf), USER))
 
 
-@query()
+@query(MIXED + E.reported(USER) + " SELECT agent_id, seq, round(instant, 6) AS instant, behavior_score FROM rep")
 def behavior_score(spark, sf):
-    return R.scores(judged(by_user(spark, sf), USER)).select("agent_id", "seq", r6("instant").alias("instant"), "behavior_score")
+    return R.scores(seen(by_user(spark, sf), USER, False)).select("agent_id", "seq", r6("instant").alias("instant"), "behavior_score")
 
 
-@query()
+@query(MIXED + E.reported(USER) + " SELECT agent_id, seq, CAST(rank AS INTEGER) AS rank, feature, round(contribution, 4) AS contribution, round(score, 6) AS score, direction, round(observed, 6) AS observed, round(expected, 6) AS expected, summary FROM shares")
 def attributions(spark, sf):
-    return R.attributions(judged(by_user(spark, sf), USER))
+    out = R.attributions(seen(by_user(spark, sf), USER, False))
+    return out.select("agent_id", "seq", "rank", "feature", F.round("contribution", 4).alias("contribution"), r6("score").alias("score"), "direction", r6("observed").alias("observed"), r6("expected").alias("expected"), "summary")
 
 
-@query()
+@query(RAMPED + " SELECT agent_id, seq, feature, round(slope, 6) AS slope, round(hourly, 4) AS hourly, steps, round(hours, 2) AS hours, summary FROM ahead")
 def forecasts(spark, sf):
-    return R.forecasts(judged(by_user(spark, sf), USER), USER.warmup).drop("ts")
+    return R.forecasts(ramp(spark, sf)).select("agent_id", "seq", "feature", r6("slope").alias("slope"), F.round("hourly", 4).alias("hourly"), "steps", F.round("hours", 2).alias("hours"), "summary")
 
 
-@query()
+@query(RAMPED + " SELECT agent_id, seq, feature FROM (SELECT *, lag(seq) OVER (PARTITION BY agent_id, feature ORDER BY seq) AS before FROM ahead) WHERE before IS NULL OR before < seq - 1")
 def fresh_forecasts(spark, sf):
-    return R.fresh_forecasts(R.forecasts(judged(by_user(spark, sf), USER), USER.warmup)).select("agent_id", "seq", "feature")
+    return R.fresh_forecasts(R.forecasts(ramp(spark, sf))).select("agent_id", "seq", "feature")
 
 
-@query()
+@query(MIXED + E.reported(USER) + " SELECT agent_id, seq, status, severity, behavior_score, CAST(n_findings AS INTEGER) AS n_findings FROM rep")
 def report_severity(spark, sf):
-    return reported(spark, sf).select("agent_id", "seq", "status", "severity", "behavior_score", F.size("findings").alias("n_findings"))
+    return R.reports(seen(by_user(spark, sf), USER, False)).select("agent_id", "seq", "status", "severity", "behavior_score", F.size("findings").alias("n_findings"))
 
 
-@query()
+@query(MIXED + E.reported(USER) + " SELECT agent_id, seq, behavior_score FROM rep WHERE top = 0 AND top_before > 0")
 def engine_recovery(spark, sf):
-    return R.recoveries(reported(spark, sf)).drop("ts")
+    return R.recoveries(R.reports(seen(by_user(spark, sf), USER, False))).drop("ts")
 
 
-@query()
+@query(MIXED + E.reported(USER) + " SELECT agent_id, max(seq) AS seq, max_by(severity, seq) AS severity, max_by(behavior_score, seq) AS behavior_score FROM rep GROUP BY 1")
 def latest_reports(spark, sf):
-    return R.latest(reported(spark, sf)).select("agent_id", "seq", "severity", "behavior_score")
+    return R.latest(R.reports(seen(by_user(spark, sf), USER, False))).select("agent_id", "seq", "severity", "behavior_score")
 
 
-@query()
+@query(ALERTED + " SELECT alert_id, agent_id, kind, named AS severity, title, message, lead AS top_feature, behavior_score FROM gov")
 def alerts(spark, sf):
-    return A.candidates(reported(spark, sf), USER_POLICY).select("alert_id", "agent_id", "kind", "severity", "title", "message")
+    return A.governed(ramp(spark, sf)).select("alert_id", "agent_id", "kind", "severity", "title", "message", "top_feature", "behavior_score")
 
 
-@query()
+@query(ALERTED + " SELECT alert_id, agent_id, kind, named AS severity, allowed, reason FROM gov")
 def governor_decisions(spark, sf):
-    return decided(spark, sf).select("alert_id", "agent_id", "kind", "severity", "allowed", "reason")
+    return A.governed(ramp(spark, sf)).select("alert_id", "agent_id", "kind", "severity", "allowed", "reason")
 
 
-@query()
+@query(ALERTED + E.LOG)
 def telemetry_log(spark, sf):
-    r = reported(spark, sf)
-    return A.telemetry(r, A.governed(A.candidates(r, USER_POLICY), USER_POLICY)).drop("ts")
-
+    return A.telemetry(ramp(spark, sf)).drop("ts")
 
-USER_POLICY = AlertPolicy(cooldown_ms=6 * 3_600_000)
 
-
-def decided(spark, sf):
-    return A.governed(A.candidates(reported(spark, sf), USER_POLICY), USER_POLICY)
-
-
-@query()
+@query(ALERTED + " SELECT alert_id, channel, named AS severity FROM gov, (VALUES ('slack'), ('email')) AS c(channel) WHERE allowed")
 def deliveries(spark, sf):
-    return A.deliveries(decided(spark, sf), ["slack", "email"]).select("alert_id", "channel", "severity")
+    return A.deliveries(A.governed(ramp(spark, sf)), ["slack", "email"]).select("alert_id", "channel", "severity")
 
 
 @query("SELECT event_type AS agent_id, count(*) AS observations, epoch_us(min(ts)) // 1000 AS first_seen, epoch_us(max(ts)) // 1000 AS last_seen, CASE WHEN count(*) >= 50 THEN 'ready' ELSE 'learning' END AS status FROM events GROUP BY 1")
@@ -463,9 +440,20 @@ def agents(spark, sf):
     return t.groupBy("agent_id").agg(n.alias("observations"), F.unix_millis(F.min("ts")).alias("first_seen"), F.unix_millis(F.max("ts")).alias("last_seen"), F.when(n >= TYPE.warmup, "ready").otherwise("learning").alias("status"))
 
 
-@query()
+LAST = "(SELECT *, row_number() OVER (PARTITION BY agent_id, feature ORDER BY k DESC) AS back FROM {})"
+
+
+@query(
+    MIXED + f" SELECT agent_id, feature, CAST(n AS BIGINT) AS count, round(wm, 6) AS mean, round(CASE WHEN n > 1 THEN sqrt(m2 / n) ELSE 0 END, 6) AS std_dev, round(em, 6) AS ewma_mean, round(sqrt(ev), 6) AS ewma_std_dev, sev > 0 AS frozen FROM {LAST.format('judged')} WHERE back = 1 "
+    f"UNION ALL SELECT agent_id, feature, CAST(list_sum(counts) AS BIGINT), NULL, NULL, NULL, NULL, sev > 0 FROM {LAST.format('mixing')} WHERE back = 1"
+)
 def fingerprint_snapshot(spark, sf):
-    return D.snapshot(X.long(X.wide(by_user(spark, sf))), USER).select("agent_id", "feature", "count", r6("mean").alias("mean"), r6("std_dev").alias("std_dev"), r6("ewma_mean").alias("ewma_mean"), r6("p50").alias("p50"), r6("divergence").alias("divergence"), "frozen")
+    return D.snapshot(X.long(X.wide(by_user(spark, sf))), USER).select("agent_id", "feature", "count", r6("mean").alias("mean"), r6("std_dev").alias("std_dev"), r6("ewma_mean").alias("ewma_mean"), r6("ewma_std_dev").alias("ewma_std_dev"), "frozen")
+
+
+@query()
+def snapshot_quantiles(spark, sf):
+    return D.snapshot(X.long(X.wide(by_user(spark, sf))), USER).select("agent_id", "feature", r6("p50").alias("p50"), r6("p95").alias("p95"), r6("p99").alias("p99"), r6("divergence").alias("divergence"))
 
 
 @query(
@@ -523,13 +511,19 @@ def channel_payloads(spark, sf):
 @query()
 def simulate(spark, sf):
     turns = X.sequenced(S.simulate(spark, [7, 42, 101], 200))
-    r = R.reports(judged(turns, Config(warmup=30)), 30)
-    return r.select("agent_id", "seq", "severity", "behavior_score")
+    return seen(turns, Config(warmup=30)).select("agent_id", "seq", "severity", "behavior_score")
 
 
-@query()
+LINES = "SELECT *, CAST(l_suppkey AS VARCHAR) AS agent_id, l_shipdate AS ts, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey * 1000 + l_linenumber) AS seq FROM lineitem"
+SUPPLIED = E.evaluated(
+    LINES, [("costUsd", 1, "l_extendedprice"), ("inputTokens", 2, "l_quantity"), ("totalTokens", 4, "l_quantity"), ("contextTokens", 5, "l_discount * 100")],
+    [("errorRate", 11, "CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END")], [("finishReason", 13, "l_returnflag")], TYPE,
+)
+
+
+@query(SUPPLIED + E.reported(TYPE) + " SELECT agent_id, count(*) AS turns, min(behavior_score) AS worst, max_by(behavior_score, seq) AS last FROM rep GROUP BY 1")
 def supplier_drift(spark, sf):
-    return R.scores(judged(by_supplier(spark, sf), TYPE)).groupBy("agent_id").agg(F.count("*").alias("turns"), F.min("behavior_score").alias("worst"), F.max_by("behavior_score", "seq").alias("last"))
+    return R.scores(seen(by_supplier(spark, sf), TYPE, False)).groupBy("agent_id").agg(F.count("*").alias("turns"), F.min("behavior_score").alias("worst"), F.max_by("behavior_score", "seq").alias("last"))
 
 
 @query(
@@ -541,15 +535,19 @@ def conversation_turns(spark, sf):
     return X.long(X.wide(X.sequenced(S.conversations_as_turns(S.table(spark, sf, "conversations"))))).select("agent_id", "seq", "feature", "value")
 
 
+SAID = "(SELECT agent_id, seq, string_agg(summary, ' | ' ORDER BY ord) AS findings FROM ev WHERE finding > 0 GROUP BY 1, 2)"
+
+
 def flagship(spark, sf):
     """The report of every turn of the events of each type."""
-    r = R.reports(judged(by_type(spark, sf), TYPE), TYPE.warmup)
-    return r.select("agent_id", "seq", "status", "severity", "behavior_score", F.transform("findings", lambda f: f["summary"]).alias("findings"))
+    r = R.reports(seen(by_type(spark, sf), TYPE, False))
+    return r.select("agent_id", "seq", "status", "severity", "behavior_score", F.array_join(F.transform("findings", lambda f: f["summary"]), " | ").alias("findings"))
 
 
-@query()
+@query(TYPES + f" SELECT agent_id, seq, feature, {SEVERITY.format('finding')} AS severity, direction, round(z, 6) AS score, summary FROM ev WHERE finding > 0")
 def drift_findings(spark, sf):
     return D.findings(judged(by_type(spark, sf), TYPE)).select("agent_id", "seq", "feature", "severity", "direction", r6("score").alias("score"), "summary")
 
 
 QUERIES["drift_reports"] = flagship
+ORACLES["drift_reports"] = TYPES + E.reported(TYPE) + f" SELECT agent_id, seq, status, severity, behavior_score, coalesce(findings, '') AS findings FROM rep LEFT JOIN {SAID} USING (agent_id, seq)"

@@ -61,7 +61,7 @@ def payloads(alerts: DataFrame, sender: str = "alerts@example.com", recipients:
         "googlechat": J(S(text=text())),
         "telegram": J(S(text=truncated(text(), 4000), disable_web_page_preview=L(True))),
         "pagerduty": J(S(event_action=L("trigger"), dedup_key=C("alert_id"), payload=S(summary=truncated(compact(), 1024), source=C("agent_id"), severity=C("severity"), timestamp=iso(C("ts")), custom_details=S(behaviorScore=C("behavior_score"), kind=C("kind"), attributions=F.transform("attributions", lambda a: a["summary"]))))),
-        "webhook": J(S(id=C("alert_id"), agentId=C("agent_id"), kind=C("kind"), severity=C("severity"), title=C("title"), message=C("message"), behaviorScore=C("behavior_score"), attributions=C("attributions"), timestamp=F.unix_millis("ts"))),
+        "webhook": J(S(id=C("alert_id"), agentId=C("agent_id"), kind=C("kind"), severity=C("severity"), title=C("title"), message=C("message"), behaviorScore=C("behavior_score"), attributions=C("attributions"), timestamp=F.unix_millis("ts"), **({"metadata": C("metadata")} if "metadata" in alerts.columns else {}))),
         "notion": J(S(properties=S(Name=S(title=F.array(S(text=S(content=truncated(C("title"), 200))))), Severity=S(select=S(name=C("severity"))), Agent=S(rich_text=F.array(S(text=S(content=C("agent_id"))))), Score=S(number=C("behavior_score")), Message=S(rich_text=F.array(S(text=S(content=truncated(C("message"), 1900)))))))),
         "reddit": J(S(kind=L("self"), title=truncated(C("title"), 300), text=text())),
         "x": J(S(text=truncated(compact(), 280))),

@@ -34,6 +34,12 @@ def events_by_type(events: DataFrame) -> DataFrame:
     return as_turns(events, agent_id=F.col("event_type"), ts=F.col("ts").cast("timestamp"), latency_ms=F.col("value"), retrieval_chunks=F.get_json_object("props", "$.k").cast("double"), tie=F.col("event_id"))
 
 
+def events_on_a_ramp(events: DataFrame) -> DataFrame:
+    """A few agents whose latency climbs for some hundred turns, falls back, and climbs again."""
+    climb = F.lit(500.0) + F.col("value") + F.lit(0.4) * (F.col("event_id") % 2000)
+    return as_turns(events, agent_id=F.col("event_type"), ts=F.col("ts").cast("timestamp"), latency_ms=climb, tie=F.col("event_id"))
+
+
 def events_by_user(events: DataFrame) -> DataFrame:
     """Many agents with short histories, with a mix of categories and errors."""
     return as_turns(events, agent_id=F.col("user_id").cast("string"), ts=F.col("ts").cast("timestamp"), latency_ms=F.col("value"), finish_reason=F.col("event_type"), error_flag=F.col("event_type") == "error", tie=F.col("event_id"))
@@ -41,7 +47,7 @@ def events_by_user(events: DataFrame) -> DataFrame:
 
 def lineitem_by_supplier(lineitem: DataFrame) -> DataFrame:
     """Many agents, several numeric features, a category and an error rate."""
-    tie = F.xxhash64("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    tie = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
     return as_turns(
         lineitem, agent_id=F.col("l_suppkey").cast("string"), ts=F.col("l_shipdate").cast("timestamp"), cost_usd=F.col("l_extendedprice"), input_tokens=F.col("l_quantity"),
         context_tokens=F.col("l_discount") * 100, finish_reason=F.col("l_returnflag"), error_flag=F.col("l_returnflag") == "R", tie=tie,

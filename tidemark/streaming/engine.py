@@ -4,97 +4,89 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..functions.tracks import Categorical, Numeric, half_up, track
+from ..functions.agents import Agent, Desk
 from ..operators.features import valid, wide
-from ..plans.config import CATEGORICAL, LEAST_DEVIATION, MOST_ATTRIBUTIONS, NUMERIC, SCORE_ALPHA, SEVERITIES, Config
+from ..operators.report import REPORT
+from ..plans.config import CATEGORICAL, NUMERIC, Config
 
-REPORT = "agent_id string, seq long, ts timestamp, status string, severity string, behavior_score int, findings string, forecasts string"
 STATE = "state string"
 
 
-def attributed(seen: list[tuple[str, float, dict | None]]) -> list[dict]:
-    """The shares of features (name, deviation, finding) in a turn's squared deviation, as ``report.attributions`` has them."""
-    top = sorted((s for s in seen if s[1] >= LEAST_DEVIATION or s[2]), key=lambda s: -s[1])[:MOST_ATTRIBUTIONS]
-    total = sum(d * d for _, d, _ in top)
-    out = []
-    for name, d, finding in top if total else ():
-        said = finding or {"direction": "above", "score": d, "observed": None, "expected": None, "summary": f"{name} deviates at {int(half_up(d * 100))}% of its critical threshold"}
-        out.append({"feature": name, "contribution": half_up(d * d / total, 4), **{k: said[k] for k in ("score", "direction", "observed", "expected", "summary")}})
-    return out
-
-
-class Agent:
-    """All features of one agent, turn by turn."""
-
-    def __init__(self, cfg: Config):
-        self.cfg, self.seq, self.index, self.tracks = cfg, 0, 0.0, {}
-
-    def observe(self, values: dict[str, float], samples: dict[str, list[str]], millis: int) -> dict:
-        """``values`` and ``samples`` by feature, those that the turn has."""
-        self.seq += 1
-        learning = self.seq <= self.cfg.warmup
-        square, n, found, seen = 0.0, 0, [], []
-        for name in (*NUMERIC, *CATEGORICAL):
-            x = values.get(name) if name in NUMERIC else samples.get(name)
-            if x is None or (name in CATEGORICAL and not len(x)):
-                continue
-            state = self.tracks.setdefault(name, track(name, self.cfg))
-            out = state.step(x if name in NUMERIC else list(x), millis, learning)
-            square, n = square + out["deviation"] ** 2, n + 1
-            finding = None
-            if out.get("finding"):
-                finding = {"feature": name, "severity": out["finding"], "direction": out["direction"], "score": out["score"], "observed": out.get("observed"), "expected": out.get("expected"), "summary": out["summary"]}
-                found.append(finding)
-            seen.append((name, out["deviation"], finding))
-        self.index += SCORE_ALPHA * ((math.sqrt(square / n) if n else 0.0) - self.index)
-        ahead = [] if learning else [{"feature": name, **f} for name in NUMERIC if name in self.tracks and (f := self.tracks[name].forecast())]
-        top = max((SEVERITIES.index(f["severity"]) for f in found), default=0)
-        return {"seq": self.seq, "status": "learning" if learning else "ready", "severity": SEVERITIES[top], "behavior_score": int(half_up(100 * math.exp(-self.index))), "findings": found, "attributions": attributed(seen), "forecasts": ahead}
-
-    def absorb(self, feature: str | None = None) -> None:
-        for name, state in self.tracks.items():
-            if feature in (None, name):
-                state.absorb()
-
-    def state(self) -> dict:
-        return {"version": 1, "seq": self.seq, "index": self.index, "tracks": {k: v.state() for k, v in self.tracks.items()}}
-
-    @classmethod
-    def restored(cls, d: dict, cfg: Config) -> Agent:
-        if d.get("version") != 1:
-            raise ValueError(f"state of version {d.get('version')!r} can't be read")
-        out = cls(cfg)
-        out.seq, out.index = d["seq"], d["index"]
-        out.tracks = {k: (Categorical if k in CATEGORICAL else Numeric).restored(k, v, cfg) for k, v in d["tracks"].items()}
-        return out
-
-
-def stream_reports(turns: DataFrame, cfg: Config, watermark: str | None = None) -> DataFrame:
-    """Reports of a stream of turns, as ``REPORT``. Keyed on the agent, whose warm-up and score span its features.
+def stream_observed(turns: DataFrame, cfg: Config, watermark: str | None = None) -> DataFrame:
+    """Turns of a stream, as ``report.REPORT`` has them: reports, alerts decided on, and the log. Keyed on the agent, whose
+    warm-up, score and cooldowns span its features.
 
     The rows of an agent in a micro-batch are taken in order of (``ts``, ``tie``); rows of later micro-batches come after,
     whatever their time. State is JSON in the state store, so a run goes on from its checkpoint.
     """
+    from pyspark.sql import functions as F
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
     rows = wide(valid(turns).withColumn("seq", F.lit(0).cast("long"))).drop("seq")
     rows = rows.withWatermark("ts", watermark) if watermark else rows
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    target = to_arrow_schema(StructType.fromDDL(REPORT))
 
     def run(key, frames, state):
         import pandas as pd
 
-        agent = Agent.restored(json.loads(state.get[0]), cfg) if state.exists else Agent(cfg)
-        frame = pd.concat(list(frames), ignore_index=True).sort_values("ts", kind="stable")
+        kept = json.loads(state.get[0]) if state.exists else None
+        agent = Agent.restored(kept["agent"], cfg) if kept else Agent(cfg)
+        desk = Desk.restored(key[0], kept["desk"], cfg.alerts) if kept else Desk(key[0], cfg.alerts)
+        frame = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "tie"], kind="stable")
         out = []
         for row in frame.to_dict("records"):
             values = {k: row[k] for k in NUMERIC if row[k] is not None and not math.isnan(row[k])}
             samples = {k: [s for s in row[k]] for k in CATEGORICAL if row[k] is not None and not isinstance(row[k], float)}
-            r = agent.observe(values, samples, int(row["ts"].timestamp() * 1000))
-            out.append({"agent_id": key[0], "ts": row["ts"], **r, "findings": json.dumps(r["findings"]), "forecasts": json.dumps(r["forecasts"])})
-        state.update((json.dumps(agent.state()),))
-        yield pd.DataFrame(out)[["agent_id", "seq", "ts", "status", "severity", "behavior_score", "findings", "forecasts"]]
+            at = row["ts"].value // 1_000_000
+            r = agent.observe(values, samples, at)
+            r["alerts"], r["events"] = desk.take(r, at)
+            out.append({"agent_id": key[0], "ts": row["ts"], "metadata": row["metadata"], **r})
+        state.update((json.dumps({"agent": agent.state(), "desk": desk.state()}),))
+        # lists and structs as the strings that the sink's schema has
+        yield pd.DataFrame({f.name: [json.dumps(r[f.name]) if f.name in NESTED and r[f.name] is not None else r[f.name] for r in out] for f in target})
+
+    told = ", ".join(f"{f.name} {'string' if f.name in NESTED else f.dataType.simpleString()}" for f in StructType.fromDDL(REPORT))
+    rows = rows.groupBy("agent_id").applyInPandasWithState(run, told, STATE, "append", GroupStateTimeout.NoTimeout)
+    kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(REPORT)}
+    return rows.select(*(F.from_json(n, kinds[n]).alias(n) if n in NESTED else F.col(n) for n in kinds))
+
 
-    return rows.groupBy("agent_id").applyInPandasWithState(run, REPORT, STATE, "append", GroupStateTimeout.NoTimeout)
+#: Columns of a report that are more than a number or a string.
+NESTED = ("findings", "attributions", "forecasts", "alerts", "events", "metadata")
+
+
+def stream_reports(turns: DataFrame, cfg: Config, watermark: str | None = None) -> DataFrame:
+    """The reports of a stream, without what they give rise to."""
+    return stream_observed(turns, cfg, watermark).drop("alerts", "events", "metadata", "instant")
+
+
+def deliver(send: Callable, channels: list[str], sent: str, log: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` on ``stream_observed``: sends the alerts that may go out, and adds what became of them, and the
+    log, to the tables of files ``sent`` and ``log``, by micro-batch, so that one taken again replaces itself.
+
+    ``send(channel, alert_id, payload)`` raises if it fails. A micro-batch is written once and read from there, so its
+    fold isn't run again for each table.
+    """
+    from ..operators import alerts as A
+    from ..sinks import payloads as P
+
+    def batch(seen: DataFrame, number: int) -> None:
+        seen = seen.persist()
+        try:
+            going = A.governed(seen).filter("allowed")
+            told = P.publish(going, send, channels)
+            folder = f"{sent}/batch={number}"
+            told.write.mode("overwrite").parquet(folder)
+            if log is not None:
+                done = seen.sparkSession.read.parquet(folder).join(going, "alert_id")
+                A.telemetry(seen, done).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        finally:
+            seen.unpersist()
+
+    return batch
