@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +28,13 @@ RANGE_BYTES, HELD = 512 << 20, 1 << 20
 GEAR = np.frombuffer(b"".join(hashlib.sha256(b"gear %d" % i).digest()[:4] for i in range(256)), np.uint32)
 
 
-@dataclass(frozen=True)
-class Node:
+class Node(NamedTuple):
     """A part of a text: where it begins and ends, in bytes; its digest, of its bytes or of its parts' digests; its parts."""
 
     start: int
     end: int
     digest: bytes
-    parts: tuple[Node, ...] = ()
+    parts: tuple = ()
 
 
 def digest(kind: bytes, parts: list[bytes]) -> bytes:
@@ -71,7 +70,7 @@ def tree(text: bytes) -> Node:
     """Root, sections (ended by blank lines), paragraphs (lines, with their ends), passages. Every byte is in one passage, so
     roots are equal just if texts are."""
     sections, paragraphs, passages, at, blank = [], [], [], 0, True
-    whole, hash_ = memoryview(text), hashlib.blake2b
+    hash_ = hashlib.blake2b
 
     def close(kind: bytes, parts: list[Node], into: list[Node]) -> None:
         if parts:
@@ -79,9 +78,10 @@ def tree(text: bytes) -> Node:
             parts.clear()
 
     for end in passage_ends(text).tolist():
-        passages.append(Node(at, end, hash_(whole[at:end], digest_size=WHOLE).digest()))
-        blank = blank and text[at:end].isspace()
-        if text[end - 1] == 10:
+        passage = text[at:end]
+        passages.append(Node(at, end, hash_(passage, digest_size=WHOLE).digest()))
+        blank = blank and passage.isspace()
+        if passage[-1] == 10:
             close(b"p", passages, paragraphs)
             if blank:
                 close(b"s", paragraphs, sections)
@@ -105,28 +105,31 @@ def fingerprint(root: Node) -> str:
     return f"{root.digest.hex()}:{b''.join(out).hex()}"
 
 
-def read(print_: str) -> list[tuple[list[bytes], list[int]]]:
+def read(print_: str) -> list[tuple[list[int], list[int]]]:
     """The levels of a fingerprint: short digests, and numbers of parts or of bytes."""
     raw, at, out = bytes.fromhex(print_[2 * WHOLE + 1 :]), 0, []
     for wide in WIDE:
         n = int.from_bytes(raw[at : at + 4], "big")
         at += 4
-        digests = [raw[i : i + SHORT] for i in range(at, at + SHORT * n, SHORT)]
+        digests = np.frombuffer(raw, f">u{SHORT}", n, at).tolist()
         at += SHORT * n
         out.append((digests, np.frombuffer(raw, wide, n, at).tolist()))
         at += np.dtype(wide).itemsize * n
     return out
 
 
-def unmatched(a: list[bytes], b: list[bytes]) -> tuple[list[int], list[int]]:
+def unmatched(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """The places in two lists that no equal digest in the other list answers, the first ones first."""
     common = Counter(a) & Counter(b)
+    if not common:
+        return list(range(len(a))), list(range(len(b)))
     out = []
     for line in (a, b):
         left, rest = common.copy(), []
         for i, d in enumerate(line):
-            if left.get(d, 0) > 0:
-                left[d] -= 1
+            n = left.get(d)
+            if n:
+                left[d] = n - 1
             else:
                 rest.append(i)
         out.append(rest)
@@ -136,9 +139,10 @@ def unmatched(a: list[bytes], b: list[bytes]) -> tuple[list[int], list[int]]:
 def differing(a: str, b: str) -> tuple[list[int], list[int]]:
     """The passages, by number, in which two fingerprints differ: sections with equal digests are passed over, then equal
     paragraphs of the sections that are left, then equal passages of the paragraphs that are left."""
-    if a[: 2 * WHOLE] == b[: 2 * WHOLE]:
-        return [], []
-    x, y = read(a), read(b)
+    return ([], []) if a[: 2 * WHOLE] == b[: 2 * WHOLE] else apart(read(a), read(b))
+
+
+def apart(x: list, y: list) -> tuple[list[int], list[int]]:
     here = (list(range(len(x[0][0]))), list(range(len(y[0][0]))))
     for level in range(3):
         p, q = unmatched([x[level][0][i] for i in here[0]], [y[level][0][i] for i in here[1]])
@@ -154,9 +158,13 @@ def likeness(a: str, b: str) -> float:
     0 if one text is empty and the other isn't."""
     if a[: 2 * WHOLE] == b[: 2 * WHOLE]:
         return 1.0
-    sizes = [read(t)[2][1] for t in (a, b)]
+    return shared(read(a), read(b))
+
+
+def shared(x: list, y: list) -> float:
+    sizes = [x[2][1], y[2][1]]
     whole = sum(map(sum, sizes))
-    lost = sum(s[i] for s, side in zip(sizes, differing(a, b), strict=True) for i in side)
+    lost = sum(sum(map(s.__getitem__, side)) for s, side in zip(sizes, apart(x, y), strict=True))
     return (whole - lost) / whole
 
 
@@ -271,24 +279,34 @@ def merkle_fingerprints(docs: DataFrame) -> DataFrame:
 
     def work(rows):
         raw = lambda t: t.encode("utf-8", "surrogatepass")
-        seen: dict[str, str] = {}
+        seen: dict[str, tuple[str, list]] = {}
+
+        def print_of(text: str) -> tuple[str, list]:
+            made = fingerprint(tree(raw(text)))
+            return made, read(made)
 
-        def print_of(text: str) -> str:
+        def kept(text: str) -> tuple[str, list]:
             # a document's next one is the document after it
             if text not in seen:
-                seen[text] = fingerprint(tree(raw(text)))
+                seen[text] = print_of(text)
             return seen[text]
 
+        near = lambda a, b: 1.0 if a[0][: 2 * WHOLE] == b[0][: 2 * WHOLE] else shared(a[1], b[1])
         changed = [edited(t, n) for _, t, n in rows]
-        own, new, next_ = [print_of(t) for _, t, _ in rows], [print_of(t) for t in changed], [print_of(n) for _, _, n in rows]
+        own, next_ = [kept(t) for _, t, _ in rows], [kept(n) for _, _, n in rows]
+        new, near_edited = [], []
+        for text, mine in zip(changed, own, strict=True):
+            there = print_of(text)
+            new.append(there[0])
+            near_edited.append(near(mine, there))
         columns = {
             "doc_id": pa.array([i.as_py() for i, _, _ in rows], rows[0][0].type),
             "n_chars": pa.array([len(t) for _, t, _ in rows], pa.int64()),
             "edited_sha256": pa.array([hashlib.sha256(raw(t)).hexdigest() for t in changed], pa.string()),
-            "fingerprint": pa.array(own, pa.string()),
+            "fingerprint": pa.array([f for f, _ in own], pa.string()),
             "edited_fingerprint": pa.array(new, pa.string()),
-            "near_edited": pa.array([likeness(a, b) for a, b in zip(own, new, strict=True)], pa.float64()),
-            "near_next": pa.array([likeness(a, b) for a, b in zip(own, next_, strict=True)], pa.float64()),
+            "near_edited": pa.array(near_edited, pa.float64()),
+            "near_next": pa.array(list(map(near, own, next_)), pa.float64()),
         }
         return pa.RecordBatch.from_pydict(columns)
 
