@@ -37,7 +37,8 @@ def odd(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df, want = queries.queries()[name](spark, SF), con.sql(queries.oracle_sql()[name])
     columns = sorted(df.columns)
     at = [want.columns.index(c) for c in columns]
@@ -96,18 +97,25 @@ def test_simhash_on_odd_rows(spark, odd):
     assert simhash.simhash_components(odd.limit(0)).count() == 0
 
 
-def test_near_copies_equal_brute_force(spark, odd):
-    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    rows = frame.collect()
-    sets = [frozenset(simhash.shingle_hashes((r.text or "").encode(), 5)) for r in rows]
-    low, pairs = {r.doc_id: r.doc_id for r in rows}, []
-    for (a, x), (b, y) in itertools.combinations(zip((r.doc_id for r in rows), sets, strict=True), 2):
+def brute_near(rows):
+    """The smallest id that chains of texts with Jaccard similarity 0.8 or more (5 words) lead to, by id, of (id, text)."""
+    sets = [frozenset(simhash.shingle_hashes((t or "").encode(), 5)) for _, t in rows]
+    low, pairs = {i: i for i, _ in rows}, []
+    for (a, x), (b, y) in itertools.combinations(zip((i for i, _ in rows), sets, strict=True), 2):
         if x == y or min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y):
             pairs.append((a, b))
-    for _ in pairs:
+    before = None
+    while before != low:
+        before = dict(low)
         for a, b in pairs:
             low[a] = low[b] = min(low[a], low[b])
-    assert len(pairs) > 10
+    return low, len(pairs)
+
+
+def test_near_copies_equal_brute_force(spark, odd):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    low, n_pairs = brute_near([(r.doc_id, r.text) for r in frame.collect()])
+    assert n_pairs > 10
     assert {r.doc_id: r.component_id for r in near_dedup.near_components(frame).collect()} == low
     import corpus_pipeline
 
@@ -117,6 +125,22 @@ def test_near_copies_equal_brute_force(spark, odd):
     assert near_dedup.near_components(odd.limit(0)).count() == 0
 
 
+def test_a_large_group_of_near_copies_is_cut_into_cells(spark):
+    dice = random.Random(3)
+    base = [f"w{dice.randrange(10**6)}" for _ in range(60)]
+    rows = []
+    for i in range(80):  # a chain: each has a word or two of its own, so not all are near each other
+        words = list(base)
+        for _ in range(dice.randrange(3)):
+            words[dice.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, f"something else entirely number {i} with its own words {i * 7} and {i * 13} more {i}") for i in range(10)]
+    low, _ = brute_near(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (7, 4000):
+        assert {r.doc_id: r.component_id for r in near_dedup.near_components(frame, slice_sets=size).collect()} == low
+
+
 def brute_passages(rows, width=13):
     first, words = {}, []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
@@ -260,6 +284,42 @@ def test_copies_of_the_mix_are_numbered(spark):
     assert numbered == Counter((i, k) for i, n in want.items() for k in range(n)) and max(want.values()) > 1
 
 
+def test_names_keep_their_surrogates(spark):
+    text = "Mary Smith met Mrs. Smith; later Smith spoke. MARY SMITH left. Mrs. Zelda Novak and Zelda Novak and Novak's."
+    rows = spark.createDataFrame([(1, text), (2, "Dr. Novak, NOVAK and Mr. Smith"), (3, "a smith, Smithson, Novakian"), (4, "Herr Thomas Meyer und Thomas")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.replace_private(rows).collect()}
+    for gone in ("Mary", "Smith", "SMITH", "MARY", "Zelda", "Novak", "NOVAK"):
+        assert not re.search(rf"\b{gone}\b", got[1] + got[2])
+    m = re.fullmatch(r"(\w+) (\w+) met Mrs\. (\w+); later (\w+) spoke\. (\w+) (\w+) left\. Mrs\. (\w+) (\w+) and (\w+) (\w+) and (\w+)'s\.", got[1]).groups()
+    assert m[1] == m[2] == m[3] and m[4:6] == (m[0].upper(), m[1].upper()) and m[6:8] == m[8:10] and m[7] == m[10]
+    assert m[0] in pii.GIVEN["female", "latin"] and m[6].endswith("a") and len({m[0], m[1], m[6], m[7]}) == 4
+    assert got[2] == f"Dr. {m[7]}, {m[7].upper()} and Mr. {m[1]}" and got[3] == "a smith, Smithson, Novakian"
+    again = re.fullmatch(r"Herr (\w+) \w+ und (\w+)", got[4]).groups()
+    assert again[0] == again[1] in pii.GIVEN["male", "latin"]
+
+
+def test_surrogates_of_a_crowded_format_stay_distinct(spark):
+    names = [a + b for a in "BCDFGHKLMNPRSTWZ" for b in "aeiou"]
+    phones = [f"555-010-{i:04d}" for i in range(60)]
+    rows = spark.createDataFrame([(i, f"Mr. {n} is at {p}") for i, (n, p) in enumerate(itertools.zip_longest(names, phones, fillvalue="home"))], "doc_id long, text string")
+    got = [re.fullmatch(r"Mr\. (\S+) is at (\S+)", r.text).groups() for r in pii.replace_private(rows).collect()]
+    new = [n for n, _ in got]
+    assert len(set(new)) == len(names) and not set(new) & set(names) and not set(new) & set(pii.LISTED)
+    calls = [p for _, p in got if p != "home"]
+    assert len(set(calls)) == len(phones) and not set(calls) & set(phones)
+
+
+def test_surrogates_and_secrets_on_odd_rows(spark, odd):
+    more = odd.select(*odd.columns, F.lit(1).alias("names"), F.lit(2).alias("found"), F.lit(3).alias("base"))
+    for frame in (odd, more, odd.limit(0)):
+        rows = pii.replace_private(frame).collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in frame.collect())
+        model = secret_scan.Model(tuple(0.0 for _ in range(len(secret_scan.ALPHABET) ** 2)), 1.0)
+        assert Counter(r.doc_id for r in secret_scan.find_secrets(frame, model).collect()) == Counter(r.doc_id for r in frame.collect())
+    assert secret_scan.train(odd.limit(0)).threshold > 0
+    assert pii.replace_private(spark.createDataFrame([(None, "Mr. Zorn, Zorn"), (None, "Mr. Zorn, Zorn")], "doc_id long, text string")).filter("text like '%Zorn%'").count() == 0
+
+
 PRIVATE = "Mail Jo.Doe@Mail.example.com or jo.doe@mail.example.com, call +1 (499) 555-6503 or +1 499-555-6503; from 8.196.197.208, card 4539 1488 0343 6467, not 4539148803436468. Mrs. Mary Smith met Mary Smith and Mr. Иван Петров."
 
 
@@ -344,6 +404,21 @@ def test_secrets_equal_brute_force_and_the_model_adds(spark, docs):
     assert secret_scan.find_secrets(frame.limit(0)).count() == 0
 
 
+def test_markov_models_on_held_out_strings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secret_scan.train(docs, sample_docs=300)
+    dice = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = {n: ["".join(dice.choices(letters, k=n)) for _ in range(300)] for n in (12, 16, 20, 32)}
+    # ordinary strings of documents that the model hasn't seen
+    ids = {r.doc_id for r in docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(300).collect()}
+    rest = secret_scan.ordinary_strings(docs.filter(~F.col("doc_id").isin(list(ids))), 300).filter(F.length("text") >= 12).distinct()
+    hit = lambda frame: frame.filter(model.score(F.col("text")) > model.threshold).count()
+    for n, least in ((12, 0.7), (16, 0.9), (20, 0.97), (32, 1.0)):
+        assert hit(spark.createDataFrame([(t,) for t in made[n]], "text string")) >= least * 300, n
+    assert hit(rest) < 0.005 * rest.count()
+
+
 def test_mix_on_odd_rows(spark, odd):
     got = mixing.mix(odd).collect()
     assert len(got) == len(ODD) and all(r.taken <= 2 * r.size for r in got)
@@ -488,6 +563,18 @@ def test_escapes(text):
     assert chat.parse(out) == turns and chat.unescape("".join(out[a:b] for a, b in spans)) == text
 
 
+def test_conversations_on_odd_rows(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (None, 1, "assistant", "yes"), (1, None, "assistant", None), (1, 0, None, "x"), (1, 0, "user", "\\ </s>"), (2, 0, "", "y" * 70_000)]
+    frame = spark.createDataFrame([(*r, 9, "z") for r in rows], "conv_id long, turn long, role string, text string, node int, score string")
+    got = {r.conv_id: r for r in chat.digests(chat.format_trees(chat.conversation_nodes(frame))).collect()}
+    digest = lambda x: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in x).encode()).hexdigest()
+    assert set(got) == {None, 1, 2}
+    assert (got[None].n_turns, got[None].turns_sha256, got[None].loss_chars) == (3, digest([("user", "hi"), ("assistant", "yes"), ("assistant", "yes")]), 6)
+    assert (got[1].n_turns, got[1].turns_sha256, got[1].loss_chars) == (3, digest([("", "x"), ("user", "\\ </s>"), ("assistant", "")]), 0)
+    assert got[2].turns_sha256 == digest([("", "y" * 70_000)])
+    assert chat.format_trees(chat.conversation_nodes(frame.limit(0))).count() == 0
+
+
 def test_reply_trees(spark):
     nodes = [(1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "good", 3.0), (1, 3, 1, "assistant", "bad", 1.0), (1, 4, 3, "user", "why", 1.0), (1, 5, 99, "user", "lost", None), (2, 1, 2, "user", "loop", 1.0), (2, 2, 1, "user", "loop", 1.0), (2, 3, 1, "user", "into", 1.0)]
     nodes += [(3, i, i - 1 if i else None, None, None, 1.0) for i in range(40)]
@@ -509,8 +596,58 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     for r in rows:
         groups[re.sub(r"[\x20\x09-\x0D]", "", r[1] or "")].append(r)
     rows = [min(g, key=lambda r: (-len(r[1] or ""), r[0])) for g in groups.values()]
-    stay = {i for i, _, c in brute_simhash(sorted((i, t) for i, t, _ in rows)) if i == c}
-    rows = [r for r in rows if r[0] in stay]
+    low, _ = brute_near([(i, t) for i, t, _ in rows])
+    rows = [r for r in rows if low[r[0]] == r[0]]
     mix = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    got = Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect())
+    out = corpus_pipeline.run(spark, SF)
+    got = Counter(r.doc_id for r in out.collect())
     assert got == Counter({i: n for i, n in mix.items() if n})
+    texts = dict((i, t) for i, t, _ in rows)
+    assert all(r.lossless and r.n_tokens == len(r.ids) for r in out.collect())
+    assert {r.doc_id: r.text for r in merge_dropout.detokenized(out.select("doc_id", "ids")).collect()} == {i: texts[i] or "" for i in got}
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    folder = str(tmp_path)
+    odd.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for docs in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert [c for c in docs.columns if c != "__copy"] == odd.columns, name
+        assert "ids" in corpus_pipeline.STAGES[-1][1](spark, docs, folder).columns
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert rows and all(r.lossless for r in rows)
+
+
+def test_toxicity_thresholds_are_those_of_a_plain_fit():
+    dice = np.random.default_rng(4)
+    n, weights, limits = 3000, np.array([2.0, -1.5, 1.0]), np.array([0.5, 1.5, 2.5])
+    x = dice.random((n, 3)) < 0.5
+    grades = (x @ weights + dice.logistic(size=n) > limits[:, None]).sum(axis=0)
+    rows, columns = np.nonzero(x)
+    w, theta = toxicity.fit(rows, columns, grades, 3, penalty=0.0, rounds=1500)
+
+    def loss(w, theta):
+        s = x @ w
+        above = np.c_[np.ones(n), 1 / (1 + np.exp(theta[None, :] - s[:, None])), np.zeros(n)]
+        return -np.log(above[np.arange(n), grades] - above[np.arange(n), grades + 1]).mean()
+
+    best = loss(w, theta)
+    assert np.abs(w - weights).max() < 0.3 and np.abs(theta - limits).max() < 0.3
+    # no step in any direction makes it better
+    for k in range(3):
+        for step in (-0.03, 0.03):
+            e = np.eye(3)[k] * step
+            assert loss(w + e, theta) > best and loss(w, theta + e) > best
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, "same text", {"a": "x"}), (1, "same text", {"a": "x"}), (2, "same  text", None), (1, "other", None), (None, "none", None), (None, "none", None), (3, "only", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, more map<string,string>")
+    got = exact_dedup.distinct_texts(frame).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("1", "other"), ("2", "same  text"), ("3", "only"), ("None", "none")]
+    frame = spark.createDataFrame([(1, "t", 1), (1, "t", 1), (2, "t", 1)], "doc_id long, text string, kept int")
+    assert [tuple(r) for r in exact_dedup.distinct_texts(frame).collect()] == [(1, "t", 1)]

@@ -71,32 +71,43 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """Root-to-leaf paths of reply trees: (``tree``, ``leaf``, ``node``, ``steps`` from the leaf).
+def totals(nodes: DataFrame) -> DataFrame:
+    """For each node that leads to a root, what lies on the way: (``tree``, ``node``, ``total`` score, ``steps`` nodes).
 
-    ``nodes``: (``tree``, ``node``, ``parent``), the parent null at a root; ``node`` unique in its tree. Iterative
-    self-joins: the links to the ancestors 1, 2, 4, ... steps up are joined with themselves, so a tree of depth d takes
-    log2(d) rounds; and the paths so far, from each leaf up, are joined with the links of that length, which doubles
-    them. Each round is written to the checkpoint folder. Rows are as many as the paths have nodes.
+    ``nodes``: (``tree``, ``node``, ``parent``, ``score``). Each round joins the ways so far with themselves, so they double:
+    log2(depth) rounds, each of as many rows as there are nodes, written to the checkpoint folder.
     """
-    base = cut(nodes.select("tree", "node", "parent"))
-    up = base.filter("parent is not null").select("tree", "node", F.col("parent").alias("above"))
-    parents = up.select("tree", F.col("above").alias("node")).distinct()
-    path = base.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("steps"))
-    length = 1
-    most = base.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    while True:
+    way = cut(nodes.select("tree", "node", F.col("parent").alias("above"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")))
+    most, length = way.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
+    while length <= most and not way.filter("above is not null").isEmpty():
+        further = way.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("total").alias("more"), F.col("steps").alias("longer"))
+        joined = way.join(further, ["tree", "above"], "left")
+        way = cut(joined.select("tree", "node", F.col("top").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("longer", F.lit(0))).alias("steps")))
+        length *= 2
+    # what still has a node above leads into a cycle, and so to no root
+    return way.filter("above is null").select("tree", "node", "total", "steps")
+
+
+def paths(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The paths from ``leaves`` (``tree``, ``leaf``) to the roots: (``tree``, ``leaf``, ``node``, ``steps`` from the leaf).
+
+    Iterative self-joins: the links to the nodes 1, 2, 4, ... steps up are joined with themselves, so a tree of depth d takes
+    log2(d) rounds; and the paths so far are joined with the links of that length, which doubles them. Each round is
+    written to the checkpoint folder. Rows are as many as the chosen paths have nodes.
+    """
+    up = nodes.filter("parent is not null").select("tree", "node", F.col("parent").alias("above"))
+    path = leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("steps"))
+    length, most = 1, nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while length <= most:
         up = cut(up)
         if up.isEmpty():
-            return path
-        if length > most:  # what still has an ancestor leads into a cycle, and so to no root
-            top = path.join(base.filter("parent is null").select("tree", "node"), ["tree", "node"]).select("tree", "leaf").distinct()
-            return path.join(top, ["tree", "leaf"], "left_semi")
+            break
         longer = path.join(up, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("steps") + length).alias("steps"))
         path = cut(path.unionByName(longer))
         further = up.select("tree", F.col("node").alias("above"), F.col("above").alias("top"))
         up = up.join(further, ["tree", "above"]).select("tree", "node", F.col("top").alias("above"))
         length *= 2
+    return path
 
 
 def format_trees(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
@@ -104,26 +115,29 @@ def format_trees(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
     ``loss_spans`` array of (start, end) in code points).
 
     ``nodes``: (``tree``, ``node``, ``parent``, ``role``, ``text``, ``score``). The branches of a tree are ranked by the
-    mean score of their nodes, then by leaf; ``keep`` of each tree are formatted, null for all. Ids and scores are ranked
-    before texts are joined. A path's turns come together in one row, as they do in its string.
+    mean score of their nodes, then by leaf; ``keep`` of each tree are formatted, null for all. Scores are added up along
+    the trees and ranked first; only chosen paths are laid out, and only their texts joined. A path's turns come together
+    in one row, as they do in its string.
 
-    Null text and null role: as empty. Null score: counts as 0. A parent that isn't there makes a node a root; nodes in
-    a cycle, and those that lead into one, are on no path. Null tree: not formatted. Empty table: empty result. Other columns are not
-    read.
+    Null text and null role: as empty. Null score: counts as 0. Null tree: a tree like any other. A parent that isn't there
+    makes a node a root; nodes in a cycle, and those that lead into one, are on no path. Empty table: empty result. Other
+    columns are not read.
     """
-    nodes = cut(nodes.select("tree", "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")).filter("tree is not null"))
+    kind = nodes.schema["tree"].dataType.simpleString()
+    # a tree's id in a struct, as a null in it equals a null
+    nodes = cut(nodes.select(F.struct(F.col("tree").alias("id")).alias("tree"), "node", "parent", "role", "text", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")))
     there = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    links = nodes.select("tree", "node", "parent").join(there, ["tree", "parent"], "left")
-    links = links.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"))
-    path = paths(links)
-    scored = path.join(nodes.select("tree", "node", "score"), ["tree", "node"])
-    ranked = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("path_score"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
+    links = nodes.select("tree", "node", "parent", "score").join(there, ["tree", "parent"], "left")
+    links = cut(links.select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score"))
+    parents = links.filter("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    leaves = totals(links).join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("path_score"))
+    ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), "leaf")))
     if keep is not None:
         ranked = ranked.filter(F.col("rank") <= keep)
-    turns = path.join(ranked, ["tree", "leaf"]).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    ranked = cut(ranked)
+    turns = paths(links, ranked).join(ranked, ["tree", "leaf"]).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
     told = turns.groupBy("tree", "leaf", "rank", "path_score").agg(F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("at"), "role", "text"))).alias("turns"))
-    told = told.select("tree", "leaf", "rank", "path_score", F.col("turns.role").alias("roles"), F.transform("turns", lambda t: F.coalesce(t["text"], F.lit(""))).alias("texts"))
+    told = told.select(F.col("tree.id").alias("tree"), "leaf", "rank", "path_score", F.col("turns.role").alias("roles"), F.transform("turns", lambda t: F.coalesce(t["text"], F.lit(""))).alias("texts"))
 
     def run(batches):
         for batch in batches:
@@ -132,14 +146,15 @@ def format_trees(nodes: DataFrame, keep: int | None = 1) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([f for f, _ in made], pa.string()), spans], names=["tree", "leaf", "rank", "score", "formatted", "loss_spans"])
 
     types = {f.name: f.dataType.simpleString() for f in told.schema}
-    return told.mapInArrow(run, f"tree {types['tree']}, leaf {types['leaf']}, rank int, score double, formatted string, loss_spans array<struct<start:int,end:int>>")
+    return told.mapInArrow(run, f"tree {kind}, leaf {types['leaf']}, rank int, score double, formatted string, loss_spans array<struct<start:int,end:int>>")
 
 
 def conversation_nodes(conversations: DataFrame) -> DataFrame:
-    """A conversation as a tree of one branch: each turn replies to the one before, in order of turn, role and text."""
+    """A conversation as a tree of one branch: each turn replies to the one before, in order of turn (null last), role and text.
+    Rows without an id are one conversation; repeated rows are turns each."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     at = F.row_number().over(order).cast("long")
-    rows = conversations.filter("conv_id is not null").select(F.col("conv_id").alias("tree"), at.alias("node"), "role", "text")
+    rows = conversations.select(F.col("conv_id").alias("tree"), at.alias("node"), "role", "text")
     return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.length(F.coalesce("text", F.lit(""))).cast("double"))
 
 
@@ -169,3 +184,25 @@ def op10_chat_format(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return digests(format_trees(conversation_nodes(rows.unionByName(more))))
+
+
+def escaped_sql(text: str) -> str:
+    out = f"replace({text}, '\\', '\\\\')"
+    for c in sorted(CONTROL, key=len, reverse=True):
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+ORACLE = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t FROM conversations
+  UNION ALL SELECT -1, v.turn, v.role, '</s>[INST] ok [/INST]', v.role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)
+), e AS (
+  SELECT *, length({escaped_sql('text')}) + CASE role WHEN 'user' THEN {len('<s>[INST] ' + ' [/INST]')} WHEN 'assistant' THEN {len('<s> ' + ' </s>')} WHEN 'system' THEN {len('<s><<SYS>> ' + ' <</SYS>>')}
+    ELSE {len('<s>[ROLE] ' + ' [/ROLE] ' + ' </s>')} + length({escaped_sql('role')}) END AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, r NULLS FIRST, t NULLS FIRST) AS place FROM c
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS told, coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars FROM e GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
+"""

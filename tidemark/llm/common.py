@@ -39,6 +39,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Tasks that the members of one component are spread over when they are told its smallest id.
+SALTS = 32
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (``a``, ``b``: long) as (``node``, ``root``), the root being the smallest node.
 
@@ -72,3 +76,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
     raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
+
+
+def labelled(prints: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(``doc_id``, ``node``, ``component_id``) of ``prints`` (``doc_id``, ``node``) and ``roots`` (``node``, ``root``; roots
+    themselves and single nodes may be missing): the smallest id of each component. Only nodes of a component of several
+    are joined on its root, and each component's id is there under ``SALTS`` salts, so that a large one is spread."""
+    least = cut(prints.groupBy(node).agg(F.min("doc_id").alias("least")))
+    linked = roots.select(F.col("node").alias(node), "root")
+    linked = linked.unionByName(linked.select(F.col("root").alias(node), "root")).distinct()
+    salt = F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")
+    known = cut(linked.join(least, node).select(node, "root", "least", salt.alias("salt")))
+    low = known.groupBy("root", "salt").agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
+    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = known.join(low, ["root", "salt"]).select(node, F.col("component_id").alias("of_several"))
+    every = least.join(told, node, "left").select(node, F.coalesce("of_several", "least").alias("component_id"))
+    return prints.join(every, node).select("doc_id", node, "component_id")

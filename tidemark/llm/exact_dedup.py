@@ -78,9 +78,20 @@ def exact_dedup(docs: DataFrame, least: int = 512, most: int = 4096, key_bits: i
 
 
 def distinct_texts(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns. Rows that share an id stay or go by that id."""
-    stay = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("__stay"))
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__stay"]), "left_semi")
+    """One row of ``docs`` for each text, with its columns. Of rows that share an id and a text the one whose columns hash lowest
+    stays; they are looked for only among ids that occur more than once."""
+    stay = exact_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("__stay"), F.col("text_sha256").alias("__kept"))
+    again = cut(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")))
+    same = docs["doc_id"].eqNullSafe(stay["__stay"])
+    if again.isEmpty():
+        return docs.join(stay, same, "left_semi")
+    several = docs["doc_id"].eqNullSafe(again["__again"])
+    mark = F.xxhash64(*(F.to_json(F.struct(docs[c])) for c in docs.columns)).alias("__hash")
+    rows = docs.join(again, several, "left_semi")
+    rows = rows.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs["doc_id"].alias("__id"), F.sha2(normalized(docs["text"]), 256).alias("__sha"), mark)
+    rows = rows.join(stay, rows["__id"].eqNullSafe(stay["__stay"]) & (rows["__sha"] == stay["__kept"]), "left_semi")
+    one = rows.groupBy("__id", "__sha").agg(F.min_by("__row", "__hash").alias("__row")).select("__row.*")
+    return docs.join(again, several, "left_anti").join(stay, same, "left_semi").unionByName(one)
 
 
 def op1_exact_dedup(spark, sf_dir):

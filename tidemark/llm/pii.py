@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shuffle_partitions
 
 #: Given names by gender and script; a surrogate comes from the list of the original.
 GIVEN = {
@@ -16,7 +16,14 @@ GIVEN = {
     ("female", "greek"): "Μαρία Ελένη Κατερίνα Σοφία".split(),
     ("male", "greek"): "Γιώργος Νίκος Δημήτρης Κώστας".split(),
 }
-TITLES = "Mr Mrs Ms Miss Mx Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Señorita Sr Sra Don Doña Господин Госпожа Κύριος Κυρία".split()
+#: Titles by the gender that they tell, and what a surrogate of an unlisted given name of a gender ends in, by script.
+TITLED = {
+    "female": "Mrs Ms Miss Frau Madame Mme Mlle Señora Señorita Sra Doña Госпожа Κυρία".split(),
+    "male": "Mr Herr Monsieur Señor Sr Don Господин Κύριος".split(),
+    "": "Mx Dr Prof".split(),
+}
+TITLES = [t for titles in TITLED.values() for t in titles]
+ENDINGS = {"female": ("a", "а", "α"), "male": ("o", "ий", "ος")}
 #: A letter or digit is replaced by another of its alphabet, so script, case and vowels stay as they are.
 ALPHABETS = [
     "0123456789",
@@ -38,6 +45,9 @@ NUMBERS = (
     r"(?<![.-])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
 )
 NAMES = rf"(?:(?:{'|'.join(TITLES)})\.? {NAME}(?: {NAME})?|(?:{'|'.join(n for x in GIVEN.values() for n in x)}) {NAME})(?![\p{{L}}\p{{N}}])"
+#: Kinds of words of names: given names of women, of men, and of neither, and family names. The first one that holds counts.
+WOMAN, MAN, PERSON, FAMILY = "name1", "name2", "name3", "name4"
+LISTED = [n for names in GIVEN.values() for n in names]
 #: A mention begins where no letter or digit stands before; what it begins with decides which patterns are tried.
 ANY = rf"(?<![\p{{L}}\p{{N}}])(?:(?=[\p{{L}}\p{{N}}._%+-]++@){EMAIL}|(?=[0-9+(])(?:{'|'.join(NUMBERS)})|(?=\p{{Lu}}){NAMES})"
 #: Marks that may stand between the digits of a phone number, and a country code as the numbering plan has them.
@@ -63,10 +73,37 @@ def luhn(digits: Column) -> Column:
 
 
 def canonical(kind: Column, found: Column) -> Column:
-    """What mentions of one entity share: an address in lower case, a number without its format but for a leading plus, a name
-    without its title."""
-    bare = F.regexp_replace(found, rf"^(?:{'|'.join(TITLES)})\.? ", "")
-    return F.when(kind == "email", F.lower(found)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(found, "[^0-9+]", "")).when(kind == "name", bare).otherwise(found)
+    """What mentions of one entity share: an address in lower case, a number without its format but for a leading plus. A word
+    of a name is an entity as it is."""
+    return F.when(kind == "email", F.lower(found)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(found, "[^0-9+]", "")).otherwise(found)
+
+
+def is_name(kind: Column) -> Column:
+    return kind.startswith("name")
+
+
+def title_of(mention: Column) -> Column:
+    """The title of a mention with what stands between it and the name; else nothing."""
+    return F.regexp_extract(mention, rf"^((?:{'|'.join(TITLES)})\.? )?", 1)
+
+
+def words_of(mention: Column) -> Column:
+    """The words of a name, without its title."""
+    return F.split(F.substring(mention, F.length(title_of(mention)) + 1, F.length(mention)), " ")
+
+
+def name_words(mention: Column) -> Column:
+    """(word, kind) of the words of a name: of two the first is given, of one after a title none. Gender is that of the list, else
+    that of the title."""
+    title, words = title_of(mention), words_of(mention)
+    listed = lambda w, gender: w.isin([n for (g, _), names in GIVEN.items() if g == gender for n in names])
+    titled = lambda gender: title.rlike(rf"^(?:{'|'.join(TITLED[gender])})\b") if gender else F.lit(False)
+
+    def one(w, i):
+        kind = F.when(listed(w, "female"), WOMAN).when(listed(w, "male"), MAN).when(titled("female"), WOMAN).when(titled("male"), MAN).otherwise(PERSON)
+        return F.struct(w.alias("word"), F.when((i == 0) & (F.size(words) > 1), kind).otherwise(FAMILY).alias("kind"))
+
+    return F.transform(words, one)
 
 
 def keyed(key: str, *parts: Column) -> Column:
@@ -118,17 +155,19 @@ def surrogate_card(found: Column, key: str, tweak: Column) -> Column:
     return F.array_join(place, "")
 
 
-def surrogate_name(found: Column, key: str, tweak: Column) -> Column:
-    """The title stays; a listed given name becomes another of its gender and script, the rest is permuted."""
-    title = F.regexp_extract(found, rf"^((?:{'|'.join(TITLES)})\.? )?", 1)
-    bare = F.substring(found, F.length(title) + 1, F.length(found))
-    given, rest = F.regexp_extract(bare, r"^(\S+)", 1), F.regexp_extract(bare, r"^\S+(.*)$", 1)
-    new = permuted(given, key, F.concat(tweak, F.lit("given")))
+def surrogate_word(kind: Column, word: Column, key: str, tweak: Column) -> Column:
+    """A listed given name becomes another of its gender and script, by a shift of the list that is the same for all of it, so
+    they stay distinct. Any other word of a name is permuted; a given name of known gender gets an ending of it."""
+    ending = F.lit("")
+    for gender, of in (("female", WOMAN), ("male", MAN)):
+        latin, cyrillic, greek = ENDINGS[gender]
+        ending = F.when(kind == of, F.when(word.rlike(r"\p{IsCyrillic}"), cyrillic).when(word.rlike(r"\p{IsGreek}"), greek).otherwise(latin)).otherwise(ending)
+    new = F.concat(permuted(word, key, tweak), ending)
     for names in GIVEN.values():
-        at = F.array_position(F.array(*map(F.lit, names)), given)
-        turn = (at - 1 + 1 + keyed(key, tweak, F.lit("list"), rest) % (len(names) - 1)) % len(names)
-        new = F.when(at > 0, F.element_at(F.array(*map(F.lit, names)), (turn + 1).cast("int"))).otherwise(new)
-    return F.concat(title, new, permuted(rest, key, F.concat(tweak, F.lit("family"))))
+        at = F.array_position(F.array(*map(F.lit, names)), word)
+        turn = (at + keyed(key, F.lit("list")) % (len(names) - 1)) % len(names)
+        new = F.when((kind != FAMILY) & (at > 0), F.element_at(F.array(*map(F.lit, names)), (turn + 1).cast("int"))).otherwise(new)
+    return new
 
 
 def surrogate(kind: Column, found: Column, key: str, attempt: Column) -> Column:
@@ -136,7 +175,7 @@ def surrogate(kind: Column, found: Column, key: str, attempt: Column) -> Column:
     tweak = F.concat(kind, F.lit(":"), attempt.cast("string"))
     email = F.concat(permuted(F.lower(found), key, tweak), F.lit(".example"))
     out = F.when(kind == "email", email).when(kind == "ip", surrogate_ip(found, key, tweak))
-    out = out.when(kind == "card", surrogate_card(found, key, tweak)).when(kind == "name", surrogate_name(found, key, tweak))
+    out = out.when(kind == "card", surrogate_card(found, key, tweak)).when(is_name(kind), surrogate_word(kind, found, key, tweak))
     # marks don't count in a permutation, so all formats of a number get the same digits
     country = F.regexp_extract(found, rf"^({COUNTRY})?", 1)
     phone = F.concat(country, permuted(F.substring(found, F.length(country) + 1, F.length(found)), key, tweak))
@@ -146,19 +185,42 @@ def surrogate(kind: Column, found: Column, key: str, attempt: Column) -> Column:
 def surrogates(found: Column, key: str) -> Column:
     """The replacements of an array of (kind, mention, attempt). Each is bound before it is used, so that it is worked out
     once; names are made wider before they are replaced."""
-    wide = lambda f: F.concat(f["mention"], F.repeat(F.lower(F.right(f["mention"], F.lit(1))), F.when(f["kind"] == "name", F.floor(f["attempt"] / WIDER).cast("int")).otherwise(0)))
+    wide = lambda f: F.concat(f["mention"], F.repeat(F.lower(F.right(f["mention"], F.lit(1))), F.when(is_name(f["kind"]), F.floor(f["attempt"] / WIDER).cast("int")).otherwise(0)))
     bound = F.transform(found, lambda f: F.struct(f["kind"].alias("kind"), wide(f).alias("mention"), f["attempt"].alias("attempt")))
     return F.transform(bound, lambda f: F.when(f["kind"].isNull(), f["mention"]).otherwise(surrogate(f["kind"], f["mention"], key, f["attempt"])))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """(``doc_id``, ``text``, ``pieces``, ``found``): the text between mentions, and the mentions as (kind, mention); a kind of
-    null is a number that only looks like a card, and stays."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", "text", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("mentions"))
-    some = F.size("mentions") > 0
+    """(``doc_id``, ``text``, ``pieces``, ``found``, ``names``): the text between mentions, and the mentions as (kind, mention); a
+    kind of null is a number that only looks like a card, and stays. ``names``: the words of the names, as (word, kind).
+
+    A document in which names are found is searched once more, for their words alone too, as they are and in capitals.
+    """
+    rows = docs.select("doc_id", "text", F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(ANY), F.lit(0)).alias("mentions"))
+    told = F.flatten(F.transform(F.filter("mentions", lambda m: kind_of(m) == "name"), name_words))
+    rows = rows.withColumn("told", F.when(F.size("mentions") > 0, told))
+    words = F.array_distinct(F.transform("told", lambda t: t["word"]))
+    kind = lambda w: F.array_min(F.transform(F.filter("told", lambda t: t["word"] == w), lambda t: t["kind"]))
+    rows = rows.withColumn("names", F.when(F.size("told") > 0, F.transform(words, lambda w: F.struct(w.alias("word"), kind(w).alias("kind")))))
+    spelt = F.array_join(F.flatten(F.transform("names", lambda n: F.array(n["word"], F.upper(n["word"])))), "|")
+    # the words are letters and hyphens, so they are patterns of themselves
+    wider = F.concat(F.lit(ANY[:-1] + r"|(?=\p{Lu})(?:"), spelt, F.lit(r")(?![\p{L}\p{N}]))"))
+    named = F.col("names").isNotNull()
+    rows = rows.withColumn("wider", F.when(named, wider))
+    rows = rows.withColumn("mentions", F.when(named, F.regexp_extract_all("text", F.col("wider"), F.lit(0))).otherwise(F.col("mentions")))
+    pieces = F.when(named, F.split("text", F.col("wider"), -1)).when(F.size("mentions") > 0, F.split("text", ANY, -1))
     found = F.transform("mentions", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("mention")))
-    return rows.select("doc_id", "text", F.when(some, F.split("text", ANY, -1)).alias("pieces"), F.when(some, found).otherwise(F.array().cast("array<struct<kind:string,mention:string>>")).alias("found"))
+    return rows.select("doc_id", "text", pieces.alias("pieces"), F.when(F.size("mentions") > 0, found).otherwise(F.array().cast("array<struct<kind:string,mention:string>>")).alias("found"), "names")
+
+
+def entities(found: DataFrame, *more: str) -> DataFrame:
+    """(``kind``, ``entity``) of all mentions but names, and of the words of names that aren't listed; with the columns ``more``."""
+    plain = F.filter("found", lambda f: f["kind"].isNotNull() & (f["kind"] != "name"))
+    each = F.transform(plain, lambda f: F.struct(f["kind"].alias("kind"), canonical(f["kind"], f["mention"]).alias("entity")))
+    unlisted = F.filter("names", lambda n: (n["kind"] == FAMILY) | ~n["word"].isin(LISTED))
+    words = F.transform(unlisted, lambda n: F.struct(n["kind"].alias("kind"), n["word"].alias("entity")))
+    all_ = F.concat(each, F.coalesce(words, F.array().cast("array<struct<kind:string,entity:string>>")))
+    return found.select(*more, F.explode(all_).alias("e")).select(*more, "e.kind", "e.entity")
 
 
 def overrides(found: DataFrame, key: str) -> DataFrame:
@@ -169,17 +231,23 @@ def overrides(found: DataFrame, key: str) -> DataFrame:
     round by round, against all entities and all surrogates in use, until none is left. Names whose format may be used up
     grow by a letter every ``WIDER`` draws.
     """
-    seen = found.select(F.explode("found").alias("f")).filter("f.kind is not null").select("f.kind", canonical(F.col("f.kind"), F.col("f.mention")).alias("entity")).distinct()
+    spark = found.sparkSession
+    # as many tasks as shuffles have, however few bytes there are: it is the drawing that takes time
+    seen = entities(found).distinct().repartition(shuffle_partitions(spark), "kind", "entity")
+    # words of names are told apart whatever their kind, other entities within their kind
+    sort = F.when(is_name(F.col("kind")), "name").otherwise(F.col("kind")).alias("sort")
 
     def made(rows: DataFrame) -> DataFrame:
         one = F.array(F.struct("kind", F.col("entity").alias("mention"), "attempt"))
-        return rows.withColumn("made", F.transform(surrogates(one, key), lambda m: canonical(F.col("kind"), m))[0])
+        return rows.withColumn("made", F.transform(surrogates(one, key), lambda m: canonical(F.col("kind"), m))[0]).withColumn("sort", sort)
 
     drawn = made(seen.withColumn("attempt", F.lit(0)))
-    # in use: entities (attempt -1) and, from each round, the surrogates that stay
-    used = cut(drawn.unionByName(seen.select("kind", "entity", F.lit(-1).alias("attempt"), F.col("entity").alias("made"))))
-    first = used.groupBy("kind", "made").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    late = used.filter("attempt = 0").join(first, ["kind", "made"]).filter("first.attempt < 0 or first.entity <> entity")
+    # in use: entities (attempt -1), all listed names, and, from each round, the surrogates that stay
+    real = seen.select("kind", "entity", F.lit(-1).alias("attempt"), F.col("entity").alias("made"), sort)
+    listed = spark.createDataFrame([(PERSON, n, -1, n, "name") for n in LISTED], "kind string, entity string, attempt int, made string, sort string")
+    used = cut(drawn.unionByName(real).unionByName(listed))
+    first = used.groupBy("sort", "made").agg(F.min(F.struct("attempt", "entity", "kind")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    late = used.filter("attempt = 0").join(first, ["sort", "made"]).filter("first.attempt < 0 or first.entity <> entity or first.kind <> kind")
     open_ = cut(late.select("kind", "entity", "attempt"))
     again = open_.limit(0)
     # surrogates that were given up stay in use, so that none is drawn by another one later
@@ -187,10 +255,10 @@ def overrides(found: DataFrame, key: str) -> DataFrame:
         if open_.isEmpty():
             return again
         tries = cut(made(open_.withColumn("attempt", F.lit(attempt))))
-        taken = used.join(tries.select("kind", "made").distinct(), ["kind", "made"], "left_semi").select("kind", "made").distinct()
-        free = tries.join(taken, ["kind", "made"], "left_anti")
-        kept = cut(free.groupBy("kind", "made").agg(F.min("entity").alias("entity")).select("kind", "entity", F.lit(attempt).alias("attempt"), "made"))
-        used, again = used.unionByName(kept), again.unionByName(kept.drop("made"))
+        taken = used.join(tries.select("sort", "made").distinct(), ["sort", "made"], "left_semi").select("sort", "made").distinct()
+        free = tries.join(taken, ["sort", "made"], "left_anti")
+        kept = cut(free.groupBy("sort", "made").agg(F.min(F.struct("kind", "entity")).alias("e")).select("e.kind", "e.entity", F.lit(attempt).alias("attempt"), "made", "sort"))
+        used, again = used.unionByName(kept), again.unionByName(kept.drop("made", "sort"))
         open_ = cut(open_.join(kept, ["kind", "entity"], "left_anti"))
     if open_.isEmpty():
         return again
@@ -201,12 +269,15 @@ def replace_private(docs: DataFrame, key: str = "tidemark") -> DataFrame:
     """Whole texts with surrogates for personal data: (``doc_id``, ``text``, ``n_replaced``, ``kinds``).
 
     Found are mail addresses, IPv4 addresses, phone numbers, social security numbers, card numbers that keep the card
-    rule, and names after a title or with a listed given name. A surrogate depends on the key, the kind and the entity
-    alone, so an entity has the same one everywhere (coreference). It has the original's format: letters keep script and
-    case, digits their places, octets their range, cards the rule, given names gender and script; mail addresses end in
-    the reserved ``.example``. Surrogates are keyed permutations of their format, so distinct entities of one format stay
-    distinct; what can still collide (with an entity of the corpus, or across formats) is found by ``overrides`` over all
-    entities, and drawn again. Documents move only if there are such entities, by id, with what to draw again.
+    rule, names after a title or with a listed given name, and each word of such a name wherever else it stands in the
+    document with a capital or in capitals. A surrogate depends on the key, the kind and the entity alone, so an entity has
+    the same one everywhere (coreference); the words of a name are entities of their own, so whole names, titled family
+    names and bare ones agree. It has the original's format: letters keep script and case, digits their places, octets
+    their range, cards the rule; given names keep gender (of the list, else of the title) and script; mail addresses end
+    in the reserved ``.example``. Surrogates are keyed permutations of their format, so distinct entities of one format
+    stay distinct; what can still collide (with an entity of the corpus, or across formats) is found by ``overrides`` over
+    all entities, and drawn again. Listed given names change places among each other. Documents move only if there are
+    entities drawn again, by id, with what to draw again.
 
     Null text: stays null, nothing replaced. Null ids, repeated rows: one result each. Very long texts: whole. Empty
     table: empty result. Other columns are not read.
@@ -216,12 +287,19 @@ def replace_private(docs: DataFrame, key: str = "tidemark") -> DataFrame:
     attempt = lambda kind, mention: F.lit(0)
     rows = find(docs)
     if not again.isEmpty():
-        said = found.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.kind", canonical(F.col("f.kind"), F.col("f.mention")).alias("entity"))
-        told = said.join(again, ["kind", "entity"]).groupBy(F.col("doc_id").alias("told_id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "entity"), "attempt"))).alias("again"))
+        told = entities(found, "doc_id").join(again, ["kind", "entity"]).groupBy(F.col("doc_id").alias("told_id")).agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "entity"), "attempt"))).alias("again"))
         rows = rows.join(told, rows["doc_id"].eqNullSafe(told["told_id"]), "left")
         attempt = lambda kind, mention: F.coalesce(F.try_element_at(F.col("again"), F.concat_ws(":", kind, canonical(kind, mention))), F.lit(0))
-    drawn = F.transform("found", lambda f: F.struct(f["kind"].alias("kind"), f["mention"].alias("mention"), attempt(f["kind"], f["mention"]).alias("attempt")))
-    new = surrogates(drawn, key)
+    words = F.transform("names", lambda n: F.struct(n["kind"].alias("kind"), n["word"].alias("mention"), attempt(n["kind"], n["word"]).alias("attempt")))
+    rows = rows.withColumn("book", F.when(F.col("names").isNotNull(), F.map_from_arrays(F.transform("names", lambda n: n["word"]), surrogates(words, key))))
+    # of words that differ in case alone, the first one's surrogate stands for both in capitals
+    add = lambda acc, e: F.when(F.map_contains_key(acc, F.upper(e["key"])), acc).otherwise(F.map_concat(acc, F.create_map(F.upper(e["key"]), F.upper(e["value"]))))
+    none = F.create_map().cast("map<string,string>")
+    rows = rows.withColumn("capitals", F.when(F.col("book").isNotNull(), F.aggregate(F.map_entries("book"), none, add)))
+    word = lambda w: F.coalesce(F.try_element_at("book", w), F.try_element_at("capitals", w), w)
+    named = F.transform("found", lambda f: F.when(f["kind"] == "name", F.concat(title_of(f["mention"]), F.array_join(F.transform(words_of(f["mention"]), word), " "))))
+    drawn = F.transform("found", lambda f: F.struct(F.when(f["kind"] != "name", f["kind"]).alias("kind"), f["mention"].alias("mention"), F.when(f["kind"] != "name", attempt(f["kind"], f["mention"])).alias("attempt")))
+    new = F.zip_with(named, surrogates(drawn, key), lambda a, b: F.coalesce(a, b))
     # a piece before each mention and one after the last
     joined = F.array_join(F.flatten(F.zip_with("pieces", new, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     kinds = F.filter(F.transform("found", lambda f: f["kind"]), lambda k: k.isNotNull())

@@ -25,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.ORACLE,
         "op3_repeated_passages": substring.ORACLE,
         "op7_mix_sources": mixing.ORACLE,
+        "op10_chat_format": chat.ORACLE,
     }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,8 @@ BASE = (
     ("hex", r"(?<![0-9a-f])[0-9a-f]{16,}+", 0, 16),
 )
 #: What the model judges: runs of characters that keys are made of.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+"
+SHORTEST = 12
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -50,14 +51,14 @@ def listed(found: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Log-likelihood ratio of each pair of characters, random strings against ordinary identifiers, and the mean
-    ratio above which a string counts as random."""
+    """Log-likelihood ratio of each pair of characters, random strings against ordinary identifiers, and the total of a
+    string above which it counts as random; so a short string needs a higher mean than a long one."""
 
     ratios: tuple[float, ...]
     threshold: float
 
     def score(self, text: Column) -> Column:
-        """The mean ratio over the pairs of a string; null if it has none."""
+        """The total ratio over the pairs of a string; null if it has none."""
         size = len(ALPHABET)
         where = "array(" + ",".join(str(ALPHABET.find(chr(i))) for i in range(128)) + ")"
         table = "array(" + ",".join(f"{r:.4f}D" for r in self.ratios) + ")"
@@ -65,7 +66,7 @@ class Model:
         code = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.element_at(at, F.least(F.ascii(c), F.lit(127)) + 1))
         pairs = F.filter(F.zip_with(F.slice(code, 1, F.size(code) - 1), F.slice(code, 2, F.size(code)), lambda a, b: F.when((a >= 0) & (b >= 0), a * size + b)), lambda p: p.isNotNull())
         total = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.element_at(ratios, p + 1))
-        return F.when(F.length(text) > 1, F.try_divide(total, F.size(pairs)))
+        return F.when(F.size(pairs) > 0, total)
 
 
 def random_strings(spark: SparkSession, number: int) -> DataFrame:
@@ -85,11 +86,10 @@ def pair_counts(strings: DataFrame) -> dict[str, int]:
     return {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.count("*").alias("n")).collect()}
 
 
-def train(docs: DataFrame, sample_docs: int = 1000, random_samples: int = 4000, threshold: float = 0.7) -> Model:
-    """Markov chains of order 1 of two labelled samples, of bounded size: ``random_samples`` made strings, labelled
-    random, and the words of the ``sample_docs`` documents whose ids hash lowest, labelled ordinary, along with
-    identifiers made of them in the usual styles (snake_case, kebab-case, camelCase, CONSTANTS, numbered). Words within
-    matches of the base patterns are left out. The sample is chosen by ids alone; its texts are never shuffled."""
+def ordinary_strings(docs: DataFrame, sample_docs: int) -> DataFrame:
+    """(``text``): words of the ``sample_docs`` documents whose ids hash lowest, and identifiers made of them in the usual styles
+    (snake_case, kebab-case, camelCase, CONSTANTS, numbered). Words within matches of the base patterns are left out. The
+    sample is chosen by ids alone; its texts are never shuffled."""
     ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     text = docs.join(F.broadcast(ids), "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("text"))
     for _, pattern, _, _ in BASE:
@@ -98,7 +98,17 @@ def train(docs: DataFrame, sample_docs: int = 1000, random_samples: int = 4000,
     two = words.select(F.explode(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))), lambda a, b: F.struct(F.lower(a).alias("a"), F.lower(b).alias("b")))).alias("p"))
     a, b = F.col("p.a"), F.coalesce("p.b", F.lit("x"))
     styles = F.array(a, F.concat(a, F.lit("_"), b), F.concat(a, F.lit("-"), b), F.concat(a, F.initcap(b)), F.upper(F.concat(a, F.lit("_"), b)), F.concat(a, F.lit("_"), F.length(b).cast("string"), F.lit("/"), b), F.concat(F.initcap(a), F.lit("="), b))
-    ordinary = pair_counts(two.select(F.explode(styles).alias("text")))
+    return two.select(F.explode(styles).alias("text"))
+
+
+def train(docs: DataFrame, sample_docs: int = 1000, random_samples: int = 4000, false_alarms: float = 0.0005, least: float = 8.0) -> Model:
+    """Markov chains of order 1 of two labelled samples, of bounded size: ``random_samples`` made strings, labelled random,
+    and the ``ordinary_strings`` of ``sample_docs`` documents. Four fifths of the ordinary strings train their chain; the rest
+    set the threshold: the total ratio that a share of ``false_alarms`` of those long enough to be judged exceeds, but no
+    less than ``least``."""
+    strings = ordinary_strings(docs, sample_docs)
+    kept_out = F.pmod(F.xxhash64("text"), F.lit(5)) == 0
+    ordinary = pair_counts(strings.filter(~kept_out))
     random = pair_counts(random_strings(docs.sparkSession, random_samples))
 
     def chain(counts: dict[str, int]) -> dict[str, float]:
@@ -109,15 +119,18 @@ def train(docs: DataFrame, sample_docs: int = 1000, random_samples: int = 4000,
         return out
 
     p, q = chain(random), chain(ordinary)
-    return Model(tuple(p[c + d] - q[c + d] for c in ALPHABET for d in ALPHABET), threshold)
+    model = Model(tuple(p[c + d] - q[c + d] for c in ALPHABET for d in ALPHABET), least)
+    judged = strings.filter(kept_out & (F.length("text") >= SHORTEST)).select(model.score(F.col("text")).alias("total"))
+    found = judged.agg(F.percentile_approx("total", 1 - false_alarms, 10_000).alias("limit")).first()["limit"]
+    return replace(model, threshold=max(least, found if found is not None else least))
 
 
 def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Secrets of every whole text: (``doc_id``, ``base``, ``found``), arrays of (start, at, kind, end, value).
 
-    ``base`` has the matches of the base patterns, by start, then kind. ``found`` adds, as kind ``model``, runs of 20 or
-    more key characters that overlap no base match, hold a digit or both cases, and whose mean log-likelihood ratio
-    under ``model`` (else one trained on ``docs``) is above its threshold.
+    ``base`` has the matches of the base patterns, by start, then kind. ``found`` adds, as kind ``model``, runs of
+    ``SHORTEST`` or more key characters that overlap no base match and whose log-likelihood ratio under ``model`` (else one
+    trained on ``docs``) is above its threshold.
 
     One pass without a shuffle. Null text: as empty, no spans. Null ids and repeated rows: one result each. Very long
     texts: whole. Empty table: empty result. Other columns are not read.
@@ -127,9 +140,8 @@ def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     for i, (kind, pattern, group, least) in enumerate(BASE):
         rows = with_spans(rows, kind, pattern, i, kind, group, least)
     rows = with_spans(rows, "more", CANDIDATE, len(BASE), "model").withColumn("base", F.sort_array(F.concat(*(kind for kind, *_ in BASE))))
-    both = lambda v: v.rlike("[0-9]") | (v.rlike("[a-z]") & v.rlike("[A-Z].*[A-Z]"))
     apart = lambda r: ~F.exists("base", lambda o: (o["start"] < r["end"]) & (r["start"] < o["end"]))
-    judged = F.filter("more", lambda r: both(r["value"]) & apart(r) & F.coalesce(model.score(r["value"]) > model.threshold, F.lit(False)))
+    judged = F.filter("more", lambda r: apart(r) & F.coalesce(model.score(r["value"]) > model.threshold, F.lit(False)))
     return rows.select("doc_id", "base", F.sort_array(F.concat("base", judged)).alias("found"))
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, labelled
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Members of an anchor that one task compares; larger anchors are dealt out as cells of two slices.
@@ -268,11 +268,9 @@ def simhash_components(docs: DataFrame, width: int = 4, threshold: int = 4, **op
     result. Other columns are not read.
     """
     prints = cut(fingerprints(docs, width))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(simhash_links(nodes, threshold, **options)).withColumnRenamed("node", "fp")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    low = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(nodes.join(low, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    nodes = cut(prints.select("fp").distinct())
+    roots = components(simhash_links(nodes, threshold, **options))
+    return labelled(prints, roots, "fp")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

@@ -90,7 +90,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sets, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    listed = sample.mapInArrow(words, f"doc_id {kind}, toxic int, words array<string>").dropDuplicates(["doc_id"])
+    listed = sample.mapInArrow(words, f"doc_id {kind}, toxic int, words array<string>")
+    # of rows that share an id one, the same one each time
+    listed = listed.groupBy("doc_id").agg(F.min(F.struct("toxic", "words")).alias("row")).select("doc_id", "row.*")
     sizes = {r["toxic"]: r["n"] for r in listed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not toxic:
