@@ -75,17 +75,19 @@ def totals(nodes: DataFrame) -> DataFrame:
     """For each node that leads to a root, what lies on the way: (``tree``, ``node``, ``total`` score, ``steps`` nodes).
 
     ``nodes``: (``tree``, ``node``, ``parent``, ``score``). Each round joins the ways so far with themselves, so they double:
-    log2(depth) rounds, each of as many rows as there are nodes, written to the checkpoint folder.
+    log2(depth) rounds, written to the checkpoint folder. Ways that have come to a root are not joined any more.
     """
     way = cut(nodes.select("tree", "node", F.col("parent").alias("above"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")))
     most, length = way.groupBy("tree").count().agg(F.max("count")).first()[0] or 0, 1
-    while length <= most and not way.filter("above is not null").isEmpty():
-        further = way.select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("total").alias("more"), F.col("steps").alias("longer"))
-        joined = way.join(further, ["tree", "above"], "left")
-        way = cut(joined.select("tree", "node", F.col("top").alias("above"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("longer", F.lit(0))).alias("steps")))
+    done, going = way.filter("above is null"), way.filter("above is not null")
+    while length <= most and not going.isEmpty():
+        further = done.unionByName(going).select("tree", F.col("node").alias("above"), F.col("above").alias("top"), F.col("total").alias("more"), F.col("steps").alias("longer"))
+        joined = going.join(further, ["tree", "above"])
+        way = cut(joined.select("tree", "node", F.col("top").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("longer")).alias("steps")))
+        done, going = done.unionByName(way.filter("above is null")), way.filter("above is not null")
         length *= 2
     # what still has a node above leads into a cycle, and so to no root
-    return way.filter("above is null").select("tree", "node", "total", "steps")
+    return done.select("tree", "node", "total", "steps")
 
 
 def paths(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
