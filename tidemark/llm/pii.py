@@ -233,7 +233,7 @@ def overrides(found: DataFrame, key: str) -> DataFrame:
     """
     spark = found.sparkSession
     # as many tasks as shuffles have, however few bytes there are: it is the drawing that takes time
-    seen = entities(found).distinct().repartition(shuffle_partitions(spark), "kind", "entity")
+    seen = entities(found).distinct().repartition(shuffle_partitions(spark))
     # words of names are told apart whatever their kind, other entities within their kind
     sort = F.when(is_name(F.col("kind")), "name").otherwise(F.col("kind")).alias("sort")
 
