@@ -27,6 +27,7 @@ def as_json(turn: dict) -> dict:
 
 def simulate(turns: int, warmup: int, drift_at: int | None, seed: int) -> list[str]:
     """What happens in a simulated run, as lines."""
+    # fixed values: the wording of the lines
     after = turns * 6 // 10 if drift_at is None else drift_at
     lines, first, report = [f"simulation: turns={turns} warmup={warmup} drift-at={after} seed={seed}"], None, None
     engine = Live(Config(warmup=warmup))

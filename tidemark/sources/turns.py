@@ -71,6 +71,7 @@ def conversations_as_turns(conversations: DataFrame) -> DataFrame:
 
 # -- spans -----------------------------------------------------------------------------------------------------------
 
+# fixed values: attribute keys here and below, as spans carry them
 AGENT_KEYS = ("gen_ai.agent.id", "gen_ai.agent.name", "agent.id", "service.name")
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -214,6 +215,7 @@ class Uniform:
         return names[-1]
 
 
+# fixed values: clock, tools, shares and the order of draws of the simulated run, whose published figures depend on them
 CLOCK, STEP, TOOLS = 1_750_000_000_000, 30_000, ("web_search", "db_query", "calculator")
 
 
