@@ -81,14 +81,19 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def labelled(prints: DataFrame, roots: DataFrame, node: str) -> DataFrame:
     """(``doc_id``, ``node``, ``component_id``) of ``prints`` (``doc_id``, ``node``) and ``roots`` (``node``, ``root``; roots
     themselves and single nodes may be missing): the smallest id of each component. Only nodes of a component of several
-    are joined on its root, and each component's id is there under ``SALTS`` salts, so that a large one is spread."""
-    least = cut(prints.groupBy(node).agg(F.min("doc_id").alias("least")))
+    are joined on its root, and each component's id is there under ``SALTS`` salts, so that a large one is spread; nodes of
+    very many documents are not joined by shuffle."""
+    least = cut(prints.groupBy(node).agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     linked = roots.select(F.col("node").alias(node), "root")
     linked = linked.unionByName(linked.select(F.col("root").alias(node), "root")).distinct()
     salt = F.pmod(F.xxhash64(node), F.lit(SALTS)).cast("int")
-    known = cut(linked.join(least, node).select(node, "root", "least", salt.alias("salt")))
+    known = cut(linked.join(least.drop("rows"), node).select(node, "root", "least", salt.alias("salt")))
     low = known.groupBy("root", "salt").agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
     low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     told = known.join(low, ["root", "salt"]).select(node, F.col("component_id").alias("of_several"))
-    every = least.join(told, node, "left").select(node, F.coalesce("of_several", "least").alias("component_id"))
-    return prints.join(every, node).select("doc_id", node, "component_id")
+    every = cut(least.join(told, node, "left").select(node, F.coalesce("of_several", "least").alias("component_id"), "rows"))
+    # a node of more than a thousandth of the rows: there are fewer than a thousand, so they are told by broadcast
+    total = every.agg(F.sum("rows").alias("n")).first()["n"] or 0
+    hot = F.broadcast(every.filter(F.col("rows") * 1000 > total).drop("rows"))
+    cold = prints.join(hot.drop("component_id"), node, "left_anti").join(every.drop("rows"), node)
+    return prints.join(hot, node).select("doc_id", node, "component_id").unionByName(cold.select("doc_id", node, "component_id"))
