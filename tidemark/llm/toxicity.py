@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 TOKEN = re.compile(r"[^\W\d_]+")
 GRADES = 4
 #: Lengths of the beginnings of words that are features.
@@ -78,6 +80,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary:
     many distinct markers they hold (up to one, two, more), a marker being a feature whose share of toxic documents is
     at least eight times its share of clean ones. Features are kept by chi-square, at most ``vocabulary``. The
     sample is chosen by ids alone and its bound is what limits the driver's work; without toxic rows nothing is toxic.
+    ``docs`` is read once for it: the features of the sample are written to the checkpoint folder.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     pick = lambda c: marks.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -91,8 +94,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000, vocabulary:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     listed = sample.mapInArrow(words, f"doc_id {kind}, toxic int, words array<string>")
-    # of rows that share an id one, the same one each time
-    listed = listed.groupBy("doc_id").agg(F.min(F.struct("toxic", "words")).alias("row")).select("doc_id", "row.*")
+    # of rows that share an id one, the same one each time; written, as what follows reads the sample three times
+    listed = cut(listed.groupBy("doc_id").agg(F.min(F.struct("toxic", "words")).alias("row")).select("doc_id", "row.*"))
     sizes = {r["toxic"]: r["n"] for r in listed.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not toxic:
