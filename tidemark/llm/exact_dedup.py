@@ -42,6 +42,7 @@ def exact_dedup(docs: DataFrame, least: int = 512, most: int = 4096, key_bits: i
     """
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("raw"))
     text = text.select("doc_id", F.length("raw").alias("points"), normalized(F.col("raw")).alias("norm"))
+    salt = F.pmod(F.xxhash64("doc_id", "points"), F.lit(SALTS)).cast("int")
     key = (lambda c: F.xxhash64(c)) if key_bits >= 64 else (lambda c: F.pmod(F.xxhash64(c), F.lit(1 << key_bits)))
 
     parts = text.select("doc_id", F.explode(chunks(F.col("norm"), least, most)).alias("chunk")).withColumn("key", key(F.col("chunk")))
@@ -57,15 +58,15 @@ def exact_dedup(docs: DataFrame, least: int = 512, most: int = 4096, key_bits: i
         *([] if unsure.isEmpty() else [F.array_join(F.transform(listed, lambda c: F.sha2(c, 256)), ".").alias("long_recipe"), F.transform(listed, key).alias("keys")]),
     )
     if "keys" in rows.columns:
-        users = rows.select("long_recipe", F.explode("keys").alias("key")).join(unsure, "key", "left_semi").select("long_recipe").distinct().withColumn("changes", F.lit(True))
-        rows = rows.join(users, "long_recipe", "left").withColumn("recipe", F.when(F.col("changes"), F.col("long_recipe")).otherwise(F.col("recipe")))
+        users = rows.select("long_recipe", F.explode("keys").alias("key")).join(unsure, "key", "left_semi").select("long_recipe").distinct()
+        users = users.select("long_recipe", F.lit(True).alias("changes"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rows = rows.withColumn("salt", salt).join(users, ["long_recipe", "salt"], "left").withColumn("recipe", F.when(F.col("changes"), F.col("long_recipe")).otherwise(F.col("recipe")))
     rows = cut(rows.select("doc_id", "points", "text_sha256", "recipe"))
 
     best = F.min(F.struct((-F.col("points")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("best")
     groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), best).filter("group_size > 1")
     groups = groups.select("recipe", "group_size", F.col("best.id").alias("keep_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "points"), F.lit(SALTS)).cast("int"))
-    both = salted.join(groups, ["recipe", "salt"], "left")
+    both = rows.withColumn("salt", salt).join(groups, ["recipe", "salt"], "left")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
     return both.select(
