@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat, exact_dedup, merge_dropout, merkle, mixing, near_dedup, pii, queries, secret_scan, simhash, substring, toxicity
+from tidemark.llm.common import components
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -97,6 +98,27 @@ def test_simhash_on_odd_rows(spark, odd):
     assert simhash.simhash_components(odd.limit(0)).count() == 0
 
 
+def test_components_of_hot_nodes_equal_plain_ones(spark):
+    """Two hubs that two thirds of all links meet, long chains, loops, repeated links, nodes below zero."""
+    r = random.Random(5)
+    edges = [(0, i) for i in range(1, 3000)] + [(i, 5_000) for i in range(3000, 5000)] + [(i, i + 1) for i in range(10_000, 10_300)]
+    edges += [(r.randrange(-4000, -1), r.randrange(-4000, -1)) for _ in range(2500)] + [(7, 7), (1, 2), (1, 2), (20_000, 20_000)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    frame = spark.createDataFrame([(b, a) if i % 2 else (a, b) for i, (a, b) in enumerate(edges)], "a long, b long")
+    found = {(x["node"], x["root"]) for x in components(frame).collect()}
+    assert {x for x in found if x[0] != x[1]} == {(x, top(x)) for x in up if top(x) != x}
+    assert components(frame.filter("a = b")).count() == 0
+
+
 def brute_near(rows):
     """The smallest id that chains of texts with Jaccard similarity 0.8 or more (5 words) lead to, by id, of (id, text)."""
     sets = [frozenset(simhash.shingle_hashes((t or "").encode(), 5)) for _, t in rows]
