@@ -157,10 +157,12 @@ def test_a_large_group_of_near_copies_is_cut_into_cells(spark):
             words[dice.randrange(60)] = f"x{i}"
         rows.append((i, " ".join(words)))
     rows += [(100 + i, f"something else entirely number {i} with its own words {i * 7} and {i * 13} more {i}") for i in range(10)]
+    # one set of shingles under many texts and ids, and one of a set of its own
+    rows += [(200 + i, rows[i % 2][1].upper().replace(" ", " " * (i + 1))) for i in range(20)]
     low, _ = brute_near(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    for size in (7, 4000):
-        assert {r.doc_id: r.component_id for r in near_dedup.near_components(frame, slice_sets=size).collect()} == low
+    for options in ({"slice_sets": 7}, {}, {"slice_shingles": 400}):
+        assert {r.doc_id: r.component_id for r in near_dedup.near_components(frame, **options).collect()} == low
 
 
 def brute_passages(rows, width=13):

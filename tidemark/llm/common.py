@@ -41,27 +41,29 @@ def cut(df: DataFrame) -> DataFrame:
 
 #: Tasks that the members of one component are spread over when they are told its smallest id.
 SALTS = 32
-#: Tasks that the links of one node are spread over.
-LINK_SALTS = 256
+#: Tasks that the rows of one key are spread over when they are told something of all of them.
+KEY_SALTS = 256
+
+
+def with_least(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """``rows`` with ``least``, the smallest ``value`` of their ``key``. Rows of a key are dealt by ``KEY_SALTS`` salts of their
+    values, both for the minimum and for the join, so a key that a third of all rows have is spread. A key is told its
+    minimum under the salts it has, which are no more than its rows. Rows without a key or a value don't come back."""
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(KEY_SALTS)).cast("int"))
+    part = rows.groupBy(key, "__salt").agg(F.min(value).alias("least"))
+    low = part.groupBy(key).agg(F.min("least").alias("least"), F.collect_list("__salt").alias("salts"))
+    return rows.join(low.select(key, "least", F.explode("salts").alias("__salt")), [key, "__salt"]).drop("__salt")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (``a``, ``b``: long) as (``node``, ``root``), the root being the smallest node.
 
     Alternates large-star and small-star steps, each of which replaces links by links to a smaller neighbour, until the
-    links stay as they are. A step is a grouped minimum and a join back: no group of neighbours is gathered anywhere.
-    The links of a node are dealt by ``LINK_SALTS`` salts of their other ends, both for the minimum and for the join, so a
-    node that a third of all links meet is spread; a node is told its minimum under the salts it has, which are no more
-    than its links. The links only shrink, and each round is written to the checkpoint folder. Loops and repeated links
-    are allowed; without links the result is empty.
+    links stay as they are. A step is a grouped minimum and a join back (``with_least``): no group of neighbours is gathered
+    anywhere, and a node that a third of all links meet is spread. The links only shrink, and each round is written to the
+    checkpoint folder. Loops and repeated links are allowed; without links the result is empty.
     """
 
-    def star(links: DataFrame) -> DataFrame:
-        links = links.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(LINK_SALTS)).cast("int"))
-        part = links.groupBy("u", "s").agg(F.min("v").alias("m"))
-        low = part.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("salts"))
-        return links.join(low.select("u", "m", F.explode("salts").alias("s")), ["u", "s"]).drop("s")
-
     def state(links: DataFrame) -> tuple:
         return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -72,10 +74,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).select(F.col("v").alias("u"), F.least("m", "u").alias("v"), F.col("u").alias("w"))
+        large = with_least(both, "u", "v").select(F.col("v").alias("u"), F.least("least", "u").alias("v"), F.col("u").alias("w"))
         large = large.filter("u > w").select("u", "v").distinct()
-        small = star(large)
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+        small = with_least(large, "u", "v")
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct(F.col("u"), F.col("least").alias("v")))).alias("e"))
         links = cut(small.select("e.u", "e.v").filter("u <> v").distinct())
         now = state(links)
         if now == before:
