@@ -1,4 +1,5 @@
 import math
+import random
 
 import duckdb
 import pytest
@@ -87,6 +88,36 @@ def test_a_line_keeps_its_digits_on_long_histories(spark):
     assert all(math.isclose(r.t, T.binomial_tail(r.k, n, 0.3), rel_tol=1e-9) for r in rows)
 
 
+def test_a_fold_over_a_join_has_each_key_whole(spark):
+    """The join is planned with a shuffle and turned into a broadcast as it runs, as it is for large tables."""
+    dice = random.Random(4)
+    rows = [("ab"[i % 2], i, dice.expovariate(1.0)) for i in range(4000)]
+    frame = spark.createDataFrame(rows, "k string, i long, v double")
+    planned = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in planned}
+    for name, value in planned.items():
+        spark.conf.set(name, value)
+    try:
+        fires = {tuple(r) for r in native.shift_fires(frame, "k", ["i"], "v", 0.02, 10.0).collect()}
+        ends = {r.k: (r.n, r.p50) for r in native.p2_quantiles(frame, "k", ["i"], "v").collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    want = set()
+    for k in "ab":
+        own = [(i, v) for key, i, v in rows if key == k]
+        mean = math.fsum(v for _, v in own) / len(own)
+        dev = math.sqrt(math.fsum((v - mean) ** 2 for _, v in own) / len(own))
+        test, median = T.Shift(0.02, 10.0), P2(0.5)
+        for i, v in own:
+            median.push(v)
+            if fired := test.push((v - mean) / dev):
+                test.reset()
+                want.add((k, i, fired))
+        assert ends[k] == (len(own), median.value)
+    assert want and fires == want
+
+
 def test_feature_rules(spark):
     rows = spark.createDataFrame([("a", 1.0, float("nan"), 5.0, 0.0, None), ("a", None, None, None, None, "boom"), ("", 1.0, 1.0, 1.0, 1.0, None)], "agent string, latency double, i double, o double, c double, error string")
     t = S.as_turns(rows, agent_id=rows.agent, latency_ms=rows.latency, input_tokens=rows.i, output_tokens=rows.o, context_tokens=rows.c, error_class=rows.error)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -33,7 +34,9 @@ def fold_by_key(rows: DataFrame, keys: list[str], order: list[str], make: Callab
                 out.extend(machine(dict(zip(names, row, strict=True))))
             yield columns_of(out, target)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    # by a hash of the keys: a deal by the keys themselves is left out where a join by them is below, and adaptive execution,
+    # which sees no need of the join's deal once it broadcasts the other side, then reads a key in several tasks
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def columns_of(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
