@@ -88,6 +88,17 @@ def test_a_line_keeps_its_digits_on_long_histories(spark):
     assert all(math.isclose(r.t, T.binomial_tail(r.k, n, 0.3), rel_tol=1e-9) for r in rows)
 
 
+def test_steps_on_a_tie_of_the_last_digit_are_those_of_sql(spark, tmp_path):
+    """The exact steps are 62372.625, so the seventh digit is a tie that only the same sums let fall the same way."""
+    values = [18.9, 60.35, 86.13, 91.55, 68.17, 22.4, 95.16, 24.78]
+    con, events = duckdb.connect(), tmp_path / "events.parquet"
+    con.execute("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_hours(i) AS ts, u AS user_id, 'view' AS event_type, v AS value, '{}' AS props FROM (SELECT unnest(range(8)) AS i, unnest($1::DOUBLE[]) AS v), range(3) r(u)", [values])
+    con.execute(f"COPY events TO '{events}' (FORMAT parquet)")
+    got = Q.steps_to_threshold(spark, str(tmp_path)).select("agent_id", "seq", "power", "digits").collect()
+    want = con.execute(f"SELECT agent_id, seq, power, digits FROM ({Q.ORACLES['steps_to_threshold']})").fetchall()
+    assert ("0", 8, 4, 6237262) in want and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_a_fold_over_a_join_has_each_key_whole(spark):
     """The join is planned with a shuffle and turned into a broadcast as it runs, as it is for large tables."""
     dice = random.Random(4)

@@ -109,13 +109,15 @@ def line(points: DataFrame, keys: list[str], order: list[str], value: str, milli
     w = Window.partitionBy(*keys).orderBy(*order)
     frame = w.rowsBetween(1 - width, 0)
     rows = points.withColumn("__i", F.row_number().over(w).cast("double"))
-    # sums of products about the means of the frame, so a long history costs no digits
-    found = {"__n": F.count(value), "__cov": F.covar_pop(value, "__i"), "__var": F.var_pop(value), "__mean": F.avg(value), "__late": F.max(millis), "__early": F.min(millis)}
+    # sums of products about the means of the frame, so a long history costs no digits; places come first, as their steps from
+    # the mean are exact, so this has the digits of regr_slope
+    found = {"__n": F.count(value), "__cov": F.covar_pop("__i", value), "__sxx": F.var_pop("__i"), "__var": F.var_pop(value), "__mean": F.avg(value), "__late": F.max(millis), "__early": F.min(millis)}
     rows = rows.withColumns({name: c.over(frame) for name, c in found.items()}).withColumn("__n", F.col("__n").cast("double")).filter("__n >= 3")
     n = F.col("__n")
+    rows = rows.withColumn("slope", F.col("__cov") / F.col("__sxx"))
     rows = rows.withColumns({"__sxx": n * (n * n - 1) / 12, "__sxy": F.col("__cov") * n, "__syy": F.col("__var") * n})
     N, span = F.col("__n"), (F.col("__late") - F.col("__early")).cast("double")
-    rows = rows.withColumn("__span", span).withColumn("slope", F.col("__sxy") / F.col("__sxx"))
+    rows = rows.withColumn("__span", span)
     rss = F.greatest(F.lit(0.0), F.col("__syy") - F.col("slope") * F.col("__sxy"))
     rows = rows.withColumn("t", F.abs("slope") / F.greatest(F.sqrt(rss / (N - 2) / F.col("__sxx")), F.lit(1e-12)))
     rows = rows.withColumn("next_value", F.col("__mean") + F.col("slope") * (N + 1) / 2)
