@@ -165,6 +165,28 @@ def test_a_large_group_of_near_copies_is_cut_into_cells(spark):
         assert {r.doc_id: r.component_id for r in near_dedup.near_components(frame, **options).collect()} == low
 
 
+def test_near_copies_are_candidates_by_anchors_of_simhash(spark):
+    """Sets of similarity 0.8 of three sizes: the fingerprint is the majority of hashes, and nearly all pairs meet at an anchor."""
+    dice = np.random.default_rng(8)
+    number, bits = near_dedup.BLOCKS[0]
+    words = -(-number * bits // 64)
+    pairs = []
+    for both, own in ((4, (0, 1)), (8, (1, 1)), (400, (50, 50))):
+        for _ in range(100):
+            x = dice.integers(0, 2**63, both + sum(own)).astype(np.uint64)
+            pairs.append((x[: both + own[0]], np.r_[x[:both], x[both + own[0] :]]))
+    few, many = [s for p in pairs[:200] for s in p if len(s) <= near_dedup.FEW], [s for p in pairs for s in p if len(s) > near_dedup.FEW]
+    prints = [p.tobytes() for wide, sets in ((words * 2, few), (words, many)) for p in near_dedup.wide_prints(sets, wide)]
+    at = {s.tobytes(): i for i, s in enumerate([*few, *many])}
+    ones = sum(int(b).bit_count() for b in np.frombuffer(prints[-1], np.uint8))
+    hashes = [near_dedup.mixed(many[-1] ^ t) for t in near_dedup.mixed(np.arange(1, words + 1, dtype=np.uint64))]
+    assert ones == sum(2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h) for h in hashes for b in range(64))
+    frame = spark.createDataFrame(list(enumerate(prints)), "node long, print binary")
+    for options in ({}, {"slice_rows": 3}):
+        links = {frozenset((r.a, r.b)) for r in near_dedup.close_links(frame, number, bits, **options).collect()}
+        assert len(links & {frozenset(at[s.tobytes()] for s in p) for p in pairs}) >= 298 and len(links) < 310
+
+
 def brute_passages(rows, width=13):
     first, words = {}, []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):

@@ -188,8 +188,29 @@ def linked(cell: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold: in
     return prints[other], prints[label[other]]
 
 
+def whole_cells(batches, others: int):
+    """Rows sorted by cell, as tables of whole cells; all columns but the last ``others`` are those of the cell. A cell may run
+    over several batches."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [np.asarray(batch.column(i)) for i in range(batch.num_columns - others)]
+        same = np.ones(batch.num_rows, bool)
+        for k in keys:
+            same &= k == k[-1]
+        start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if start == 0 and held and all(held[-1].column(i)[-1].as_py() == k[0] for i, k in enumerate(keys)):
+            held.append(batch)  # the cell goes on
+            continue
+        yield pa.Table.from_batches([*held, batch.slice(0, start)])
+        held = [batch.slice(start)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def compare_batches(threshold: int):
-    """Rows (cell columns..., fp, home), sorted by cell, in; links out. A cell may run over several batches."""
+    """Rows (cell columns..., fp, home), sorted by cell, in; links out."""
 
     def links(table: pa.Table) -> pa.RecordBatch:
         columns = [np.asarray(table.column(i).combine_chunks()) for i in range(table.num_columns - 2)]
@@ -200,22 +221,8 @@ def compare_batches(threshold: int):
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     def run(batches):
-        held = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [np.asarray(batch.column(i)) for i in range(batch.num_columns - 2)]
-            same = np.ones(batch.num_rows, bool)
-            for k in keys:
-                same &= k == k[-1]
-            start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if start == 0 and held and all(held[-1].column(i)[-1].as_py() == k[0] for i, k in enumerate(keys)):
-                held.append(batch)  # the cell goes on
-                continue
-            yield links(pa.Table.from_batches([*held, batch.slice(0, start)]))
-            held = [batch.slice(start)]
-        if held:
-            yield links(pa.Table.from_batches(held))
+        for table in whole_cells(batches, 2):
+            yield links(table)
 
     return run
 
