@@ -187,6 +187,43 @@ def test_near_copies_are_candidates_by_anchors_of_simhash(spark):
         assert len(links & {frozenset(at[s.tobytes()] for s in p) for p in pairs}) >= 298 and len(links) < 310
 
 
+def test_links_of_a_large_group_are_few_and_join_what_meets_at_anchors(spark):
+    """Fingerprints around one, of both widths: each block links most of them, which once gave many links a node."""
+    dice = np.random.default_rng(11)
+    number, bits = near_dedup.BLOCKS[0]
+    length = -(-number * bits // 64) * 64
+    centre = dice.integers(0, 2, 2 * length).astype(np.uint8)
+    few = centre ^ (dice.random((100, 2 * length)) < 0.07)
+    many = np.r_[centre[:length] ^ (dice.random((400, length)) < 0.07), centre[:length] ^ (dice.random((100, length)) < 0.13), dice.integers(0, 2, (100, length))]
+    prints = [np.packbits(x.astype(np.uint8)).tobytes() for x in (*few, *many)]
+    code, up = simhash.Code(bits, 1), list(range(len(prints)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    told = [int.from_bytes(p[: near_dedup.TOLD * 8], "little") for p in prints]
+    homes = {}
+    for i, p in enumerate(prints):
+        halves = np.unpackbits(np.frombuffer(p, np.uint8)).reshape(-1, length)[:, : number * bits].reshape(-1, bits)
+        for k, a in enumerate(code.home(halves.astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))).tolist()):
+            homes.setdefault((k, a), []).append(i)
+    for x, y in {p for met in homes.values() for p in itertools.combinations(met, 2)}:
+        apart = told[x] ^ told[y]
+        if (apart & (1 << 64) - 1).bit_count() <= near_dedup.FIRST_APART and apart.bit_count() <= near_dedup.APART:
+            a, b = sorted((top(x), top(y)))
+            up[b] = a
+    low = [top(i) for i in range(len(prints))]
+    assert 450 < low.count(low[0]) < len(prints) and len(set(low)) > 50
+    frame = spark.createDataFrame(list(enumerate(prints)), "node long, print binary")
+    for options in ({}, {"slice_rows": 100}):
+        links = near_dedup.close_links(frame, number, bits, **options).localCheckpoint()
+        assert links.count() < 2 * len(prints)
+        found = {r.node: r.root for r in components(links).collect()}
+        assert [found.get(i, i) for i in range(len(prints))] == low
+
+
 def brute_passages(rows, width=13):
     first, words = {}, []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):

@@ -15,6 +15,8 @@ from .substring import mixed
 WIDTH, SIMILAR = 5, 80
 #: Blocks of a fingerprint and bits of each, up to ``MANY`` texts and beyond.
 MANY, BLOCKS = 1 << 24, ((96, 18), (160, 21))
+#: One of so many blocks comes first.
+EARLY = 6
 #: Shingles up to which a set has twice the blocks: the majority of few hashes changes more easily.
 FEW = 8
 #: Words of 64 bits of a fingerprint that candidates are compared by, and the bits that may differ in the first and in all.
@@ -23,6 +25,8 @@ TOLD, FIRST_APART, APART = 3, 26, 54
 SLICE, SLICE_SHINGLES = 4_000, 1_000_000
 #: Members of an anchor that one task compares with as many others.
 ANCHOR_SLICE = 20_000
+#: Links that a task joins at a time, about.
+LINKS = 1 << 19
 #: Shingles that are fingerprinted at a time, about.
 HELD = 50_000
 
@@ -80,49 +84,78 @@ def sketch_batches(width: int, words: int):
     return run
 
 
-def anchor_batches(number: int, bits: int):
-    """The anchor that each block of a fingerprint is at home with, its nearest codeword."""
+def anchor_batches(number: int, bits: int, first: int, last: int | None):
+    """The anchor that each block of a fingerprint, from the ``first`` to before the ``last``, is at home with: its nearest
+    codeword."""
     code, scale = Code(bits, 1), np.uint64(1) << np.arange(bits, dtype=np.uint64)
     words = -(-number * bits // 64)
 
-    def anchored(nodes, prints):
+    def anchored(nodes, groups, prints):
         times = prints.shape[1] // (words * 8)
-        blocks = np.unpackbits(prints.reshape(-1, words * 8), axis=1)[:, : number * bits].reshape(-1, number * times, bits).astype(np.uint64) @ scale
-        keys = code.home(blocks) | np.arange(number * times, dtype=np.uint64) << np.uint64(32)
+        blocks = np.unpackbits(prints.reshape(-1, words * 8), axis=1)[:, : number * bits].reshape(-1, number * times, bits)[:, first:last].astype(np.uint64) @ scale
+        keys = code.home(blocks) | np.arange(number * times, dtype=np.uint64)[first:last] << np.uint64(32)
         told = prints.view(np.int64)[:, :TOLD]
-        columns = [keys.ravel().view(np.int64), *(np.repeat(c, number * times) for c in (nodes, *told.T))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "node", *(f"w{i}" for i in range(TOLD))])
+        columns = [keys.ravel().view(np.int64), *(np.repeat(c, keys.shape[1]) for c in (nodes, groups, *told.T))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "node", "group", *(f"w{i}" for i in range(TOLD))])
 
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
-                nodes, prints = np.asarray(part.column(0)), part.column(1).to_pylist()
+                nodes, groups, prints = np.asarray(part.column(0)), np.asarray(part.column(1)), part.column(2).to_pylist()
                 size = np.array([len(p) for p in prints])
                 for s in np.unique(size):
                     at = np.flatnonzero(size == s)
-                    yield anchored(nodes[at], np.frombuffer(b"".join(prints[i] for i in at), np.uint8).reshape(len(at), -1))
+                    yield anchored(nodes[at], groups[at], np.frombuffer(b"".join(prints[i] for i in at), np.uint8).reshape(len(at), -1))
 
     return run
 
 
+def thinned(batches):
+    """Links (a, b) in; fewer that join the same nodes out: of every ``LINKS`` links, one of each node to the smallest that it
+    is connected to among them. Repeated links and loops go."""
+    held, n = [], 0
+
+    def stars():
+        a, b = (np.concatenate([np.asarray(h.column(i)) for h in held]) for i in (0, 1))
+        nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+        label = forest(place[: len(a)], place[len(a) :], len(nodes))
+        other = np.flatnonzero(label != np.arange(len(nodes)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(nodes[label[other]])], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= LINKS:
+            yield stars()
+            held, n = [], 0
+    if n:
+        yield stars()
+
+
 def close_batches(batches):
-    """Rows (anchor, i, j, node, words of the fingerprint), sorted by cell, in; links of those that are close out, as a
-    forest of fewer links than rows. Pairs are compared in blocks of bounded size and never leave this function."""
+    """Rows (anchor, i, j, group, words of the fingerprint), sorted by cell and group, in; links of groups with rows that are
+    close out, as a forest of fewer links than rows. Pairs of one group are not compared; those of two are, in blocks of
+    bounded size, and never leave this function."""
     for table in whole_cells(batches, TOLD + 1):
         columns = [np.asarray(table.column(i).combine_chunks()) for i in range(table.num_columns)]
-        n, node, words = table.num_rows, columns[-TOLD - 1], [c.view(np.uint64) for c in columns[-TOLD:]]
+        n, group, words = table.num_rows, columns[-TOLD - 1], [c.view(np.uint64) for c in columns[-TOLD:]]
         step = np.zeros(n, bool)
         for c in columns[: -TOLD - 1]:
             step[1:] |= c[1:] != c[:-1]
-        ends = np.r_[np.flatnonzero(step), n]
-        after = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(n) - 1
-        held, label, begin = np.cumsum(after), np.arange(n), 0
+        turn = step.copy()
+        turn[1:] |= group[1:] != group[:-1]
+        ends, turns = np.r_[np.flatnonzero(step), n], np.r_[np.flatnonzero(turn), n]
+        own = np.diff(np.r_[0, turns])
+        # the first row of the group in its cell, and the row after its last
+        begins, beyond = np.repeat(turns - own, own), np.repeat(turns, own)
+        after = np.repeat(ends, np.diff(np.r_[0, ends])) - beyond
+        held, label, begin = np.cumsum(after), begins, 0
         while begin < n:
             end = max(begin + 1, int(np.searchsorted(held, (held[begin - 1] if begin else 0) + 400_000, "right")))
             size = after[begin:end]
             left = np.repeat(np.arange(begin, end), size)
-            right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(size) - size, size)
+            right = beyond[left] + np.arange(len(left)) - np.repeat(np.cumsum(size) - size, size)
             apart = np.bitwise_count(words[0][left] ^ words[0][right])
             some = apart <= FIRST_APART
             left, right, apart = left[some], right[some], apart[some].astype(np.int64)
@@ -132,18 +165,14 @@ def close_batches(batches):
             if near.any():
                 label = forest(np.r_[np.arange(n), left[near]], np.r_[label, right[near]], n)
             begin = end
-        other = np.flatnonzero(label != np.arange(n))
-        yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[label[other]])], names=["a", "b"])
+        other = np.flatnonzero((begins == np.arange(n)) & (label != begins))
+        yield pa.RecordBatch.from_arrays([pa.array(group[other]), pa.array(group[label[other]])], names=["a", "b"])
 
 
-def close_links(prints: DataFrame, number: int, bits: int, slice_rows: int = ANCHOR_SLICE) -> DataFrame:
-    """Links (``a``, ``b``) of nodes of ``prints`` (``node`` long, ``print`` binary, each node once) that meet at an anchor and differ in
-    ``APART`` or fewer of the first ``TOLD`` * 64 bits, or as many as join what such links join.
-
-    Each of ``number`` blocks (twice as many for ``FEW`` shingles) of ``bits`` bits is covered by the anchors of a code of radius 1, and is dealt to its nearest. An
-    anchor of more than ``slice_rows`` members is dealt out to cells of two slices, all pairs of slices."""
-    words = ", ".join(f"w{i} long" for i in range(TOLD))
-    members = prints.mapInArrow(anchor_batches(number, bits), f"anchor long, node long, {words}")
+def links_of_blocks(prints: DataFrame, number: int, bits: int, first: int, last: int | None, slice_rows: int) -> DataFrame:
+    """Links (``a``, ``b``) of groups of ``prints`` (``node``, ``group``, ``print``) by the blocks from the ``first`` to before the ``last``."""
+    words = [f"w{i}" for i in range(TOLD)]
+    members = prints.select("node", "group", "print").mapInArrow(anchor_batches(number, bits, first, last), ", ".join(f"{c} long" for c in ("anchor", "node", "group", *words)))
     # counted from the anchors alone: few rows, whatever the number of members
     large = cut(members.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > slice_rows))
     if large.isEmpty():
@@ -153,8 +182,25 @@ def close_links(prints: DataFrame, number: int, bits: int, slice_rows: int = ANC
         own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
         cells = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
         placed = members.withColumn("c", F.explode(cells)).withColumns({"i": F.col("c.i"), "j": F.col("c.j")})
-    dealt = placed.select("anchor", "i", "j", "node", *(f"w{i}" for i in range(TOLD))).repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j")
-    return dealt.mapInArrow(close_batches, "a long, b long")
+    dealt = placed.select("anchor", "i", "j", "group", *words).repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "group")
+    links = dealt.mapInArrow(lambda batches: thinned(close_batches(batches)), "a long, b long")
+    # the links of a node come from many anchors; together they are few
+    return links.repartition("a").mapInArrow(thinned, "a long, b long")
+
+
+def close_links(prints: DataFrame, number: int, bits: int, slice_rows: int = ANCHOR_SLICE) -> DataFrame:
+    """Links (``a``, ``b``) of nodes of ``prints`` (``node`` long, ``print`` binary, each node once) that join what is joined by
+    links of two that meet at an anchor and differ in ``APART`` or fewer of the first ``TOLD`` * 64 bits.
+
+    Each of ``number`` blocks (twice as many for ``FEW`` shingles) of ``bits`` bits is covered by the anchors of a code of radius 1, and is dealt to its nearest. An
+    anchor of more than ``slice_rows`` members is dealt out to cells of two slices, all pairs of slices.
+
+    Members of a large group meet in most blocks, and each block would link them once more. So the first blocks
+    (one of ``EARLY``) are joined to groups, and in the others only nodes of different groups are compared and linked."""
+    first = number // EARLY
+    early = components(links_of_blocks(prints.withColumn("group", F.col("node")), number, bits, 0, first, slice_rows))
+    grouped = cut(prints.join(early, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "print"))
+    return early.toDF("a", "b").unionByName(links_of_blocks(grouped, number, bits, first, None, slice_rows))
 
 
 def set_batches(width: int):
@@ -225,7 +271,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR,
     kind = docs.schema["doc_id"].dataType.simpleString()
     number, bits = BLOCKS[0] if docs.count() <= MANY else BLOCKS[1]
     prints = cut(docs.select("doc_id", "text").mapInArrow(sketch_batches(width, -(-number * bits // 64)), f"doc_id {kind}, node long, shingles long, print binary"))
-    links = close_links(prints.filter("print IS NOT NULL").groupBy("node").agg(F.first("print").alias("print")), number, bits, anchor_slice)
+    links = close_links(cut(prints.filter("print IS NOT NULL").groupBy("node").agg(F.first("print").alias("print"))), number, bits, anchor_slice)
     found = components(links).withColumnRenamed("root", "group")
     groups = found.unionByName(found.select(F.col("group").alias("node"), "group").distinct())
     one = prints.groupBy("node").agg(F.min("doc_id").alias("__asked"), F.max("shingles").alias("held"))
