@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, merge_dropout, merkle, mixing, near_dedup, pii, queries, secret_scan, simhash, substring, toxicity
+from tidemark.llm import chat, common, exact_dedup, merge_dropout, merkle, mixing, near_dedup, pii, queries, secret_scan, simhash, substring, toxicity
 from tidemark.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -119,6 +119,30 @@ def test_components_of_hot_nodes_equal_plain_ones(spark):
     assert components(frame.filter("a = b")).count() == 0
 
 
+def test_links_that_are_stars_cost_no_round_and_no_small_table_is_broadcast_large(spark, monkeypatch):
+    """A table that explode makes long is small by Spark's sizes, so no broadcast may stand on one."""
+    rounds, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: (rounds.append(1), cut(df))[1])
+    linked = spark.range(3000).select((F.col("id") + 10_000).alias("a"), F.floor(F.col("id") / 2).alias("b"))
+    roots = components(linked)
+    assert len(rounds) == 1 and sorted(map(tuple, roots.collect())) == [(i + 10_000, i // 2) for i in range(3000)]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, limit = store.executionsCount(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")
+    try:
+        prints = spark.range(1500).select("id", F.col("id").alias("node")).unionByName(linked.select(F.col("a").alias("id"), F.col("a").alias("node"))).toDF("doc_id", "node")
+        told = common.labelled(prints, roots, "node").collect()
+        # a chain, so that there are rounds
+        components(spark.range(0, 6000, 3).select(F.explode(F.array(F.struct(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), F.struct((F.col("id") + 1).alias("a"), (F.col("id") + 2).alias("b")))).alias("e")).select("e.*"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r.doc_id, r.component_id) for r in told) == [(i, i) for i in range(1500)] + [(i + 10_000, i // 2) for i in range(3000)]
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    last = store.executionsCount()
+    plans = [x.physicalPlanDescription() for x in (store.executionsList(before, last - before).apply(i) for i in range(last - before))]
+    assert len(plans) > 5 and not [x for x in plans if re.search(r"BroadcastExchange \(\d+\)\n[ :|+*-]*(Project \(\d+\)\n[ :|+*-]*)*Generate", x)]
+
+
 def brute_near(rows):
     """The smallest id that chains of texts with Jaccard similarity 0.8 or more (5 words) lead to, by id, of (id, text)."""
     sets = [frozenset(simhash.shingle_hashes((t or "").encode(), 5)) for _, t in rows]

@@ -282,7 +282,8 @@ def near_components(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR,
     sizes = known.groupBy("group", "salt").agg(F.count("*").alias("n"), F.sum("held").alias("held"))
     sizes = sizes.groupBy("group").agg(F.sum("n").alias("n"), F.sum("held").alias("held"), F.collect_list("salt").alias("salts"))
     slices = F.ceil(F.greatest(F.col("n") / F.lit(slice_sets), F.col("held") / F.lit(slice_shingles))).cast("int")
-    sizes = sizes.select("group", slices.alias("slices"), F.explode("salts").alias("salt"))
+    # by shuffle, as in with_least
+    sizes = sizes.select("group", slices.alias("slices"), F.explode("salts").alias("salt")).hint("merge")
     own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
     # a set of slice s stands in the cells (0, s) .. (s, s), (s, s + 1) .. (s, last)
     cells = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j")))
