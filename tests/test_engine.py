@@ -99,6 +99,23 @@ def test_steps_on_a_tie_of_the_last_digit_are_those_of_sql(spark, tmp_path):
     assert ("0", 8, 4, 6237262) in want and sorted(map(tuple, got)) == sorted(want)
 
 
+def test_steps_on_ties_of_ten_values_are_those_of_sql(spark, tmp_path):
+    """regr_slope adds each product to its sum with one rounding; with two, the last digit of each of these fell the other way."""
+    frames = [
+        [12.1, 12.1, 49.5, 49.5, 49.5, 49.5, 49.5, 49.5, 49.5, 49.5],
+        [15.82, 15.82, 15.82, 15.82, 15.82, 180.94, 180.94, 180.94, 180.94, 180.94],
+        [103.63, 103.63, 103.63, 103.63, 103.63, 103.63, 103.63, 103.63, 142.63, 142.63],
+        [6.68, 6.68, 28.68, 28.68, 28.68, 28.68, 28.68, 28.68, 28.68, 28.68],
+    ]
+    con, events = duckdb.connect(), tmp_path / "events.parquet"
+    con.execute("CREATE TABLE events AS SELECT u * 100 + i AS event_id, TIMESTAMP '2024-01-01' + to_hours(i) AS ts, u AS user_id, 'view' AS event_type, v AS value, '{}' AS props FROM (SELECT u, unnest(range(10)) AS i, unnest(vs) AS v FROM (SELECT unnest(range(4)) AS u, unnest($1::DOUBLE[][]) AS vs))", [frames])
+    con.execute(f"COPY events TO '{events}' (FORMAT parquet)")
+    got = Q.steps_to_threshold(spark, str(tmp_path)).select("agent_id", "seq", "power", "digits").collect()
+    want = con.execute(f"SELECT agent_id, seq, power, digits FROM ({Q.ORACLES['steps_to_threshold']})").fetchall()
+    assert [(a, d) for a, s, _, d in sorted(want) if s == 10] == [("0", 1242188), ("1", 1275313), ("2", 9449687), ("3", 2209312)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_a_fold_over_a_join_has_each_key_whole(spark):
     """The join is planned with a shuffle and turned into a broadcast as it runs, as it is for large tables."""
     dice = random.Random(4)

@@ -103,17 +103,36 @@ def rate_z(count: Column, n: Column, rate: Column) -> Column:
     return F.when((k <= 0) | (count <= n * rate), F.lit(0.0)).otherwise(F.element_at(z, 1))
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c, rounded once."""
+    return F.reflect(F.lit("java.lang.Math"), F.lit("fma"), a, b, c).cast("double")
+
+
+def co_moment(pairs: Column) -> Column:
+    """Sum of the products about the means of an array of (``i``, ``x``), with the digits of regr_slope, which adds each product
+    to the sum with one rounding."""
+    start = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "i", "x", "sum")))
+
+    def step(acc, p):
+        n, ahead = acc["n"] + 1, p["i"] - acc["i"]
+        mean = acc["x"] + (p["x"] - acc["x"]) / n
+        return F.struct(n.alias("n"), (acc["i"] + ahead / n).alias("i"), mean.alias("x"), fused(ahead, p["x"] - mean, acc["sum"]).alias("sum"))
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["sum"])
+
+
 def line(points: DataFrame, keys: list[str], order: list[str], value: str, millis: str, width: int) -> DataFrame:
     """The least-squares line over each row's last ``width`` values: (``slope``, ``t``, ``next_value``, ``slope_hour``).
-    Sums over a ROWS frame, no arrays."""
+    Sums over a ROWS frame; that of products is a fold of the frame's values, for its digits."""
     w = Window.partitionBy(*keys).orderBy(*order)
     frame = w.rowsBetween(1 - width, 0)
     rows = points.withColumn("__i", F.row_number().over(w).cast("double"))
-    # sums of products about the means of the frame, so a long history costs no digits; places come first, as their steps from
-    # the mean are exact, so this has the digits of regr_slope
-    found = {"__n": F.count(value), "__cov": F.covar_pop("__i", value), "__sxx": F.var_pop("__i"), "__var": F.var_pop(value), "__mean": F.avg(value), "__late": F.max(millis), "__early": F.min(millis)}
+    # sums of products about the means of the frame, so a long history costs no digits
+    pair = F.when(F.col(value).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(value).cast("double").alias("x")))
+    found = {"__n": F.count(value), "__pairs": F.collect_list(pair), "__sxx": F.var_pop("__i"), "__var": F.var_pop(value), "__mean": F.avg(value), "__late": F.max(millis), "__early": F.min(millis)}
     rows = rows.withColumns({name: c.over(frame) for name, c in found.items()}).withColumn("__n", F.col("__n").cast("double")).filter("__n >= 3")
     n = F.col("__n")
+    rows = rows.withColumn("__cov", co_moment(F.col("__pairs")) / n)
     rows = rows.withColumn("slope", F.col("__cov") / F.col("__sxx"))
     rows = rows.withColumns({"__sxx": n * (n * n - 1) / 12, "__sxy": F.col("__cov") * n, "__syy": F.col("__var") * n})
     N, span = F.col("__n"), (F.col("__late") - F.col("__early")).cast("double")
